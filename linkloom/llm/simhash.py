@@ -81,10 +81,16 @@ def links(prints: DataFrame) -> DataFrame:
     three = groups.filter("n = 3").withColumn("mid", F.expr("x ^ lo ^ hi"))
     pairs = groups.filter("n < 4").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     pairs = pairs.unionByName(three.select(F.col("lo").alias("a"), F.col("mid").alias("b"))).unionByName(three.select(F.col("mid").alias("a"), F.col("hi").alias("b"))).filter(_near("a", "b"))
-    full = groups.filter("n > 3").select("variant")
+    full = groups.filter("n > 3")
     if full.isEmpty():
         return pairs.distinct()
-    crowded = variants.join(full, "variant", "left_semi").select("fp").distinct()
+    # A variant's members are the fingerprints with one of its two segments: 2 rows each to join, not 64.
+    kind = F.shiftright("variant", SEGMENT)
+    bit = F.element_at(F.array(*[F.lit(1 << p) for p in range(SEGMENT)]), (kind % SEGMENT + 1).cast("int"))
+    masked = F.col("variant").bitwiseAND(low)
+    whole = full.select((kind < SEGMENT).alias("is_low"), F.explode(F.array(masked, masked.bitwiseOR(bit))).alias("segment")).distinct()
+    cut = F.array(F.struct(F.lit(True).alias("is_low"), F.col("fp").bitwiseAND(low).alias("segment")), F.struct(F.lit(False).alias("is_low"), F.shiftrightunsigned("fp", SEGMENT).alias("segment")))
+    crowded = prints.select("fp", F.inline(cut)).join(whole, ["is_low", "segment"], "left_semi").select("fp").distinct()
     bits = F.array(F.lit(0).cast("long"), *[F.lit(1 << p if p < 63 else -(1 << 63)) for p in range(64)])
     centres = crowded.select("fp", F.explode(bits).alias("bit")).groupBy(F.col("fp").bitwiseXOR(F.col("bit")).alias("centre")).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     stars = centres.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
