@@ -1,4 +1,7 @@
-"""Queries by operator name, and the SQL of each."""
+"""Queries by operator name, and the SQL of each that SQL can express."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from .plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
