@@ -57,15 +57,76 @@ def expected_f05(scored: DataFrame) -> DataFrame:
     return d.filter((F.col("f") > 0) & (-F.col("best.col1") > F.round("none", 9)) & (F.col("k") <= F.col("best.k"))).select("s1_id", "cand_id", "prob", "k")
 
 
+STEPS = 1024
+
+
+def score_counts(scored: DataFrame, label: str = "label", score: str = "prob") -> DataFrame:
+    """``pos`` and ``n`` of each score from 0 to 1, and of all smaller scores (``pos_below``, ``n_below``).
+
+    Running sums in two levels, over STEPS ranges of scores and inside each, so no task sorts all scores.
+    """
+    by = scored.groupBy(score).agg(F.sum(label).cast("long").alias("pos"), F.count("*").alias("n")).withColumn("step", F.floor(F.col(score) * STEPS))
+    below = W.orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+    steps = by.groupBy("step").agg(F.sum("pos").alias("p"), F.sum("n").alias("m"))
+    steps = steps.select("step", *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"{c}_before") for c in ("p", "m")])
+    inside = W.partitionBy("step").orderBy(score).rowsBetween(W.unboundedPreceding, -1)
+    both = by.withColumns({f"{c}_inside": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in ("pos", "n")}).join(steps, "step")
+    return both.select(score, "pos", "n", (F.col("p_before") + F.col("pos_inside")).alias("pos_below"), (F.col("m_before") + F.col("n_inside")).alias("n_below"))
+
+
+def average_ranks(scored: DataFrame, label: str = "label", score: str = "prob") -> DataFrame:
+    """Each score's count and average rank, ascending from 1."""
+    return score_counts(scored, label, score).select(score, "n", "pos", (F.col("n_below") + (F.col("n") + 1) / 2).alias("rank"))
+
+
 def rank_auc(scored: DataFrame, label: str = "label", score: str = "prob") -> DataFrame:
-    """Area under the ROC curve from average ranks. Ranks come from counts of equal scores, of which there are few."""
-    by = scored.groupBy(score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
-    before = F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
-    ranked = by.withColumn("rank", before + (F.col("n") + 1) / 2)
-    s = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
+    """Area under the ROC curve from average ranks of equal scores."""
+    s = average_ranks(scored, label, score).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return s.select(F.round((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p"))), 6).alias("auc"))
 
 
+def average_precision(scored: DataFrame, label: str = "label", score: str = "prob") -> DataFrame:
+    """Area under the precision-recall curve: each score's precision, weighed by the recall it adds."""
+    c = score_counts(scored, label, score)
+    all_of = c.agg(F.sum("pos").alias("p"), F.sum("n").alias("m"))
+    each = c.join(F.broadcast(all_of))  # one row
+    precision = (F.col("p") - F.col("pos_below")) / (F.col("m") - F.col("n_below"))
+    return each.agg(F.round(F.sum(F.when(F.col("p") > 0, F.col("pos") / F.col("p") * precision).otherwise(0.0)), 6).alias("average_precision"))
+
+
+def f05_stats(index: DataFrame, predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """Counts, precision, recall, macro F0.5, and the share of queries without a link that were left empty."""
+    d = entity_counts(index, predicted, truth)
+    s = d.agg(F.sum("n_pred").alias("n_pred"), F.sum("tp").alias("tp"), F.sum("n_true").alias("n_true"), F.avg(f05(F.col("n_pred"), F.col("n_true"), F.col("tp"))).alias("f"),
+              F.avg(F.when(F.col("n_true") == 0, (F.col("n_pred") == 0).cast("int"))).alias("single"))
+    share = lambda n: F.round(F.col("tp") / F.greatest(F.col(n), F.lit(1)), 6)
+    return s.select("n_pred", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_true") - F.col("tp")).alias("fn"), share("n_pred").alias("precision"), share("n_true").alias("recall"), F.round("f", 6).alias("macro_f05"), F.round("single", 6).alias("singleton_accuracy"))
+
+
+def feature_signal(rows: DataFrame, features: list[str], label: str = "label", high: float = 0.9) -> DataFrame:
+    """For each feature its AUC, its mean on either class, and precision and coverage where it is ``high``.
+
+    Values are rounded to four decimals, so that equal ones are counted together before any sort.
+    """
+    long = rows.select(F.col(label).alias("label"), *[F.round(F.col(f).cast("double"), 4).alias(f) for f in features]).unpivot(["label"], features, "feature", "value")
+    by = long.groupBy("feature", "value").agg(F.sum("label").cast("long").alias("pos"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("feature").orderBy("value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    c = F.col
+    s = by.withColumn("rank", before + (c("n") + 1) / 2).groupBy("feature").agg(F.sum(c("rank") * c("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("m"), F.sum(c("value") * c("pos")).alias("vp"), F.sum(c("value") * c("n")).alias("v"),
+        F.sum(F.when(c("value") >= high, c("pos"))).alias("hp"), F.sum(F.when(c("value") >= high, c("n"))).alias("hn"))
+    q = lambda a, b: F.round(F.try_divide(a, b), 4)
+    return s.select("feature", q(c("r") - c("p") * (c("p") + 1) / 2, c("p") * (c("m") - c("p"))).alias("auc"), q(c("vp"), c("p")).alias("pos_mean"), q(c("v") - c("vp"), c("m") - c("p")).alias("neg_mean"), q(c("hp"), c("hn")).alias("precision_high"), q(F.coalesce("hn", F.lit(0)), c("m")).alias("coverage_high"))
+
+
+def compare(base: DataFrame, other: DataFrame, truth: DataFrame) -> DataFrame:
+    """How many pairs the second prediction gains and loses against the first, right and wrong: (change, n)."""
+    own = lambda d, b, o, t: d.select("s1_id", "cand_id", F.lit(b).alias("b"), F.lit(o).alias("o"), F.lit(t).alias("t"))
+    each = own(base, 1, 0, 0).unionByName(own(other, 0, 1, 0)).unionByName(own(truth, 0, 0, 1)).groupBy("s1_id", "cand_id").agg(F.max("b").alias("b"), F.max("o").alias("o"), F.max("t").alias("t"))
+    count = lambda e: F.coalesce(F.sum(F.expr(e).cast("int")), F.lit(0)).cast("long")
+    s = each.agg(count("o = 1 and b = 0 and t = 0").alias("new_fp"), count("o = 0 and b = 1 and t = 0").alias("fixed_fp"), count("o = 1 and b = 0 and t = 1").alias("new_tp"), count("o = 0 and b = 1 and t = 1").alias("lost_tp"))
+    return s.unpivot([], s.columns, "change", "n")
+
+
 def result_lists(index: DataFrame, pairs: DataFrame, name: str = "matched_entity_ids") -> DataFrame:
     """Every query once, its ids sorted and comma-joined, empty if it has none."""
     lists = pairs.groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_set("cand_id")), ",").alias(name))

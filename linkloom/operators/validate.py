@@ -75,3 +75,26 @@ def merge_shards(shards: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame,
     if not pairs.groupBy("s1_id", "cand_id").count().filter("count > 1").isEmpty():
         raise ValueError("repeated pairs")
     return pairs, index
+
+
+def check_feature_order(columns: list[str], expected: list[str]) -> list[tuple[str, str]]:
+    """(rule, column) for each column that a model expects and the table lacks, or has in another place."""
+    missing = [("missing_feature", c) for c in expected if c not in columns]
+    there = [c for c in columns if c in expected]
+    return missing + [("out_of_order", c) for c, e in zip(there, [e for e in expected if e in columns], strict=True) if c != e]
+
+
+def duplicate_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("s1_id", "cand_id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def in_several_parts(pairs: DataFrame, part: str = "part") -> DataFrame:
+    """Queries whose pairs lie in more than one part of a written table."""
+    return pairs.groupBy("s1_id").agg(F.countDistinct(part).alias("n_parts")).filter("n_parts > 1")
+
+
+def not_finite(rows: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, n) of null, infinite and not-a-number values."""
+    bad = lambda f: F.col(f).isNull() | F.isnan(f) | (F.abs(f) == float("inf"))
+    s = rows.agg(*[F.coalesce(F.sum(bad(f).cast("long")), F.lit(0)).alias(f) for f in features])
+    return s.unpivot([], s.columns, "feature", "n")

@@ -1,10 +1,15 @@
 """Decisions, files, validation, models and the registry against its SQL."""
 
+import difflib
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from linkloom import registry
+from linkloom.functions import text as T
 from linkloom.operators import blocking, decide, features, validate
 from linkloom.sources import files
 
@@ -73,7 +78,7 @@ def test_block_cap_and_missing_record(spark):
         features.pair_features(spark.createDataFrame([("S1-1", "S2-77")], "s1_id string, cand_id string"), raw(q), raw(c)).collect()
 
 
-@pytest.mark.parametrize("name", ["join_exact_name_block", "join_tfidf_topk_word", "join_tfidf_topk_char", "join_full_outer_union", "rule_one_to_one", "shard_of", "prep_records", "agg_percentiles"])
+@pytest.mark.parametrize("name", ["join_exact_name_block", "join_tfidf_topk_word", "join_tfidf_topk_char", "join_full_outer_union", "rule_one_to_one", "shard_of", "prep_records", "agg_percentiles", "scan_tsv", "scan_tsv_quoted", "sink_atomic", "sink_csv_append", "copy_parts", "strip_latin_accents", "norm_feature", "norm_v2", "char_3grams", "split_tokens", "vectorize_tfidf", "metric_pr_auc", "check_cross_file_s1"])
 def test_registry_agrees_with_sql(spark, name):
     c = duckdb.connect()
     for t in ("documents", "orders", "customer"):
@@ -88,3 +93,53 @@ def test_registry_agrees_with_sql(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_ranks_and_average_precision_against_brute_force(spark):
+    r = random.Random(3)
+    rows = [(round(r.random(), 1 + k % 2), int(r.random() < 0.3)) for k in range(300)] + [(1.0, 1), (0.0, 0), (1.0, 0)]
+    d = spark.createDataFrame(rows, "prob double, label int")
+    order = sorted(p for p, _ in rows)
+    ranks = {p: sum(k + 1 for k, q in enumerate(order) if q == p) / order.count(p) for p in set(order)}
+    assert {x["prob"]: x["rank"] for x in decide.average_ranks(d).collect()} == ranks
+    pos = [p for p, y in rows if y]
+    neg = [p for p, y in rows if not y]
+    auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
+    assert abs(decide.rank_auc(d).head()["auc"] - auc) < 1e-6
+    ap = sum(pos.count(t) / len(pos) * sum(p >= t for p in pos) / sum(p >= t for p, _ in rows) for t in set(order))
+    assert abs(decide.average_precision(d).head()["average_precision"] - ap) < 1e-6
+    signal = decide.feature_signal(d, ["prob"]).head()
+    assert abs(signal["auc"] - auc) < 1e-4 and abs(signal["pos_mean"] - sum(pos) / len(pos)) < 1e-4
+
+
+def test_scores_without_rows_or_positives(spark):
+    none = spark.createDataFrame([], "prob double, label int")
+    assert decide.average_ranks(none).count() == 0 and decide.average_precision(none).head()[0] is None
+    assert decide.average_precision(spark.createDataFrame([(0.5, 0)], "prob double, label int")).head()[0] == 0.0
+
+
+def test_compare_and_checks(spark):
+    pairs = lambda *p: spark.createDataFrame(list(p), "s1_id string, cand_id string")
+    got = decide.compare(pairs(("a", "1"), ("a", "2"), ("b", "1")), pairs(("a", "1"), ("c", "3"), ("c", "4")), pairs(("a", "1"), ("a", "2"), ("c", "4")))
+    assert {r["change"]: r["n"] for r in got.collect()} == {"new_fp": 1, "fixed_fp": 1, "new_tp": 1, "lost_tp": 1}
+    assert [tuple(r) for r in validate.duplicate_pairs(pairs(("a", "1"), ("a", "1"), ("a", "2"))).collect()] == [("a", "1", 2)]
+    odd = spark.createDataFrame([(1.0, float("nan")), (float("inf"), 2.0), (None, 3.0)], "x double, y double")
+    assert {r["feature"]: r["n"] for r in validate.not_finite(odd, ["x", "y"]).collect()} == {"x": 2, "y": 1}
+    assert validate.check_feature_order(["b", "z", "a"], ["a", "b", "c"]) == [("missing_feature", "c"), ("out_of_order", "b"), ("out_of_order", "a")]
+
+
+def test_quotes_and_first_column(spark, tmp_path):
+    p = tmp_path / "q.tsv"
+    p.write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-B\t"a ""b"" c"\t\tUS\nS1-A\tx"y\t9\tUS\n')
+    assert {r["entity_id"]: r["business_name"] for r in files.read_quoted_tsv(spark, str(p)).collect()} == {"S1-A": 'x"y', "S1-B": 'a "b" c'}
+    assert [r["entity_id"] for r in files.read_first_rows(spark, str(p), 1).collect()] == ["S1-A"]
+    p.write_text("h\tx\nS1-A\t1\n\nS1-A\t2\nS1-B\n")
+    assert {r["entity_id"] for r in files.read_first_column(spark, str(p)).collect()} == {"S1-A", "S1-B"}
+
+
+def test_python_text_functions(spark):
+    d = spark.createDataFrame([("Rama", "rama"), ("राम", "राम"), ("aab", "")], "a string, b string")
+    rows = d.select("a", T.transliterate(F.col("a")).alias("t"), T.collapse_repeats(T.transliterate(F.col("a"))).alias("c"), T.sequence_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    for r, (a, b) in zip(rows, [("Rama", "rama"), ("राम", "राम"), ("aab", "")], strict=True):
+        assert r["t"].isascii() and r["r"] == difflib.SequenceMatcher(None, a, b).ratio()
+    assert rows[0]["t"] == "Rama" and rows[2]["c"] == "ab"
