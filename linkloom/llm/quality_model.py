@@ -1,8 +1,10 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A document's bytes are cut into overlapping chunks that cover all of it. In each chunk learned filters
-over windows of 8 bytes (every 4 bytes) are max-pooled; a document's chunks are combined by their mean
-and their maximum, and a small dense layer makes one probability of that.
+A document's bytes are cut into overlapping chunks that cover all of it. A byte is embedded by its value
+and by whether it ends four bytes that also stand up to 24 bytes before it, since sums over a window
+can't tell that two places are equal. In each chunk learned filters over windows of 8 bytes (every 4
+bytes) are max-pooled; a document's chunks are combined by their mean and their maximum, and a small
+dense layer makes one probability of that.
 
 It is trained on the driver on at most SAMPLE labelled rows of each class with at most SAMPLE_BYTES of
 text (whole texts, those with the smallest hashes of their ids), weighted back to the classes' shares
@@ -27,6 +29,7 @@ SAMPLE, SAMPLE_BYTES = 1200, 1 << 18
 FOLDS, THRESHOLD = 5, 0.3
 CHUNK, OVERLAP = 256, 32
 BLOCK, DIM, FILTERS, HIDDEN = 4, 8, 24, 16
+RUN, LAGS = 4, range(2, 25)
 EPOCHS, BATCH, RATE = 8, 32, 4e-3
 _AT_ONCE = 1024  # chunks
 
@@ -42,11 +45,23 @@ def chunks(text: bytes) -> np.ndarray:
     return data[starts[:, None] + np.arange(CHUNK)]
 
 
+def coded(x: np.ndarray) -> np.ndarray:
+    """The bytes of chunks, 256 more where RUN bytes end that stand one of LAGS earlier too; 0 pads."""
+    again = np.zeros(x.shape, bool)
+    for lag in LAGS:
+        same = x[:, lag:] == x[:, :-lag]
+        run = same[:, RUN - 1 :].copy()
+        for k in range(RUN - 1):
+            run &= same[:, k : k - RUN + 1]
+        again[:, lag + RUN - 1 :] |= run
+    return np.where(again & (x > 0), x + np.uint16(256), x)
+
+
 class Network:
     def __init__(self, seed: int = 3):
         r = np.random.default_rng(seed)
         init = lambda *shape: (r.standard_normal(shape) * (2 / shape[0]) ** 0.5).astype(np.float32)
-        self.p = {"emb": init(256, DIM) * 4, "conv": init(BLOCK * DIM, 2 * FILTERS), "cb": np.zeros(FILTERS, np.float32), "w1": init(2 * FILTERS, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": init(HIDDEN, 1), "b2": np.zeros(1, np.float32)}
+        self.p = {"emb": init(512, DIM) * 4, "conv": init(BLOCK * DIM, 2 * FILTERS), "cb": np.zeros(FILTERS, np.float32), "w1": init(2 * FILTERS, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": init(HIDDEN, 1), "b2": np.zeros(1, np.float32)}
         self.p["emb"][0] = 0  # byte 0 pads
 
     def pooled(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +85,7 @@ class Network:
         parts = [chunks(t) for t in texts]
         bounds = np.concatenate(([0], np.cumsum([len(c) for c in parts])))
         x = np.concatenate(parts)
-        pooled = np.concatenate([self.pooled(x[k : k + _AT_ONCE])[0] for k in range(0, len(x), _AT_ONCE)])
+        pooled = np.concatenate([self.pooled(coded(x[k : k + _AT_ONCE]))[0] for k in range(0, len(x), _AT_ONCE)])
         return 1 / (1 + np.exp(-np.clip(self.head(pooled, bounds)[0].astype(float), -30, 30)))
 
     def gradients(self, parts: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
@@ -96,13 +111,13 @@ class Network:
                 de[at] += dp[:, f, None] * self.p["conv"][:, side]
         used = np.unique(np.concatenate([rows.ravel(), rows.ravel() + 1]))
         ids, de = x.reshape(-1, BLOCK)[used].ravel(), de[used].reshape(-1, DIM)
-        g["emb"] = np.stack([np.bincount(ids, de[:, k], 256) for k in range(DIM)], 1).astype(np.float32)
+        g["emb"] = np.stack([np.bincount(ids, de[:, k], 512) for k in range(DIM)], 1).astype(np.float32)
         g["emb"][0] = 0
         return g
 
     def fit(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray, seed: int = 5) -> Network:
         """Adam over small batches, its rate falling to zero."""
-        parts, r = [chunks(t) for t in texts], np.random.default_rng(seed)
+        parts, r = [coded(chunks(t)) for t in texts], np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s, step, steps = {k: np.zeros_like(v) for k, v in self.p.items()}, 0, EPOCHS * -(-len(parts) // BATCH)
         for _ in range(EPOCHS):

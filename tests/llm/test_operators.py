@@ -267,3 +267,14 @@ def test_pipeline_stages(spark, docs):
         assert out.columns[: len(frame.columns)] == frame.columns, name
         assert out.count() <= docs.count()
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_coded_marks_repeats():
+    r = np.random.default_rng(6)
+    x = r.integers(0, 4, (20, quality_model.CHUNK)).astype(np.uint8)
+    got = quality_model.coded(x)
+    for row, out in zip(x, got, strict=True):
+        for i in range(len(row)):
+            again = any(i - lag >= 3 and (row[i - 3 : i + 1] == row[i - lag - 3 : i - lag + 1]).all() for lag in quality_model.LAGS)
+            assert out[i] == row[i] + 256 * (again and row[i] > 0)
+    assert got.max() > 255 and not quality_model.coded(np.zeros((2, quality_model.CHUNK), np.uint8)).any()
