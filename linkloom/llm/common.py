@@ -19,12 +19,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, local mode) a
-    folder of the local machine is taken and recorded in the session.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, one is taken and recorded in the
+    session: in the warehouse, which a cluster shares too, and only in local mode on the machine itself.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+        local = spark.sparkContext.master.startswith("local")
+        found = f"{'/tmp' if local else spark.conf.get('spark.sql.warehouse.dir')}/checkpoints/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
