@@ -86,8 +86,9 @@ def weigh(docs: DataFrame, **how) -> DataFrame:
 
 
 def sample(docs: DataFrame, **how) -> DataFrame:
-    """The rows that are drawn, with their columns and ``mix_probability``."""
-    return _mixed(docs, True, **how).filter("kept").select("row.*", F.col("probability").alias("mix_probability"))
+    """The rows that are drawn, with their columns and ``mix_probability``, in place of one that was there."""
+    others = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "mix_probability"]
+    return _mixed(docs, True, **how).filter("kept").select(*others, F.col("probability").alias("mix_probability"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
