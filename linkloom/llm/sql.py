@@ -24,13 +24,14 @@ WITH words AS (
   SELECT 0 AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
   UNION ALL
   SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+widths AS (SELECT DISTINCT least(5, len(w)) AS width FROM words WHERE side = 1 AND len(w) > 0),
 shingles AS (
-  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS s
-  FROM words WHERE len(w) >= 5),
+  SELECT DISTINCT side, id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i : i + width - 1], ' '))) AS s
+  FROM words JOIN widths ON side = 0 AND len(w) >= width OR side = 1 AND width = least(5, len(w))),
 items AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE side = 1)
 SELECT d.id AS doc_id, i.id AS item_id, count(*)::BIGINT AS n_shared, any_value(i.n)::BIGINT AS n_item,
        count(*)::DOUBLE / any_value(i.n) AS containment
-FROM items i JOIN (SELECT * FROM shingles WHERE side = 0) d USING (s)
+FROM items i JOIN (SELECT * FROM shingles WHERE side = 0) d USING (width, s)
 GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(i.n)
 """
 

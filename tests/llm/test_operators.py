@@ -4,12 +4,14 @@ import collections
 import hashlib
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linkloom.llm import chat_format, decontaminate, license_scan, mixing, pii, quality_model, quality_rules, simhash, token_count, url_filter
+from linkloom.llm import chat_format, decontaminate, license_scan, mixing, pii, quality_model, quality_rules, simhash, sql, token_count, url_filter
 from linkloom.llm.components import connected_components
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, n_words string, fp string, score string"
@@ -202,6 +204,10 @@ def test_decontamination(spark, docs, none):
             if len(own & held) >= 0.8 * len(own):
                 want[i, item] = (len(own & held), len(own))
     assert got == want and (9, 1) in got
+    db = duckdb.connect()
+    db.register("documents", docs.filter("doc_id is not null").toPandas())
+    db.register("benchmark", items.toPandas())
+    assert {r[:2]: r[2:4] for r in db.execute(sql.DECONTAMINATION).fetchall()} == {k: v for k, v in want.items() if k[0] is not None}
     assert decontaminate.find(none, items).count() == 0 and decontaminate.find(docs, items.limit(0)).count() == 0
     kept = decontaminate.remove(docs, items.filter("item_id = 1"))
     assert kept.columns == docs.columns and kept.count() == docs.count() - 1
@@ -269,6 +275,16 @@ def test_pipeline_stages(spark, docs):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_stages_with_clashing_names(spark, docs):
+    names = "row at id fp votes f d label least first any lo hi n kept posterior probability mix_probability r_source tokens item_id value".split()
+    plain = docs.drop("n_words", "fp", "score")
+    clashing = plain.select("*", *[F.lit("z").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        got, want = (stage(spark, d, "/root/testdata/sf0.001") for d in (clashing, plain))
+        assert len(set(got.columns)) == len(got.columns) == len(clashing.columns), name
+        assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == want.count(), name
+
+
 def test_coded_marks_repeats():
     r = np.random.default_rng(6)
     x = r.integers(0, 4, (20, quality_model.CHUNK)).astype(np.uint8)
