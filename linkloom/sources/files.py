@@ -81,6 +81,8 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; the local machine's only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    """A new path in the folder that the cluster shares: its checkpoints', else its warehouse's; the machine's own only in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = f"{'/tmp' if spark.sparkContext.master.startswith('local') else spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return f"{found}/{name}-{uuid.uuid4().hex}"
