@@ -1,9 +1,10 @@
 """Licence scan by a positional rare-token index. DataFrame functions only.
 
-Each template's words are posted as (word, template, position). For a document, its highest-IDF
-licence words are looked up, every hit votes for a start (its place less the posting's position),
-the words around each start are weighed by IDF, and the template's mandatory key phrases must stand
-there. IDF is counted over all documents. Everything but that count is local to a document, so only
+Of each template its highest-IDF words are posted as (word, template, position), as many as any start
+that holds must have one of in place: those left out weigh less than MIN_COVER together. A document is
+looked up for every template whose key phrases' words it has, every hit votes for a start (its place
+less the posting's position), the words around each start are weighed by IDF, and the template's
+mandatory key phrases must stand there. No start that holds is lost. IDF is counted over all documents. Everything but that count is local to a document, so only
 the vocabulary's counts (one row a licence word and task) are shuffled.
 
 Defined cases: null and empty texts have no words and no labels; repeated rows give repeated rows;
@@ -48,7 +49,6 @@ TEMPLATES = (
 #: Words too common to index; they still count when a start is weighed.
 COMMON_WORDS = frozenset("a and any are by copy file files for forms free in into is may not of or permitted person purpose this to use with without you the 0 2 3 4 v".split())
 
-RARE_PER_FILE = 8  # how many of a file's licence words, rarest first, are looked up
 MIN_COVER = 0.7  # share of a template's IDF that must stand at a start
 SLACK = 2  # words by which a key phrase may have moved
 
@@ -101,21 +101,40 @@ def _templates(weight) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), SHAPE)
 
 
-def _postings() -> Column:
+def probes(notice: str, weight) -> list[str]:
+    """The notice's rarest words, as many as leave less than MIN_COVER of its weight to all others."""
+    terms = notice.split()
+    found, rest = [], 1.0
+    for w in sorted(set(terms), key=lambda w: (-weight(w), w)):
+        if rest < MIN_COVER - 1e-9:
+            break
+        found.append(w)
+        rest -= terms.count(w) * weight(w) / sum(map(weight, terms))
+    return found
+
+
+def _lookups(weight) -> Column:
+    """Of each template its number, the indexed words that its key phrases need, and its probes."""
+    rows = [{"t": t, "need": sorted({w for p in phrases for w in p.split()} - COMMON_WORDS), "probes": probes(notice, weight)} for t, (_, notice, phrases) in enumerate(TEMPLATES)]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<t:int,need:array<string>,probes:array<string>>>")
+
+
+def _postings(weight) -> Column:
     posted: dict[str, list[dict]] = {}
     for t, (_, notice, _) in enumerate(TEMPLATES):
+        some = probes(notice, weight)
         for off, w in enumerate(notice.split()):
-            if w not in COMMON_WORDS:
+            if w in some:
                 posted.setdefault(w, []).append({"t": t, "o": off})
     return F.from_json(F.lit(json.dumps(posted)), "map<string,array<struct<t:int,o:int>>>")
 
 
 def _matches(words: Column, seen: Column, idf: dict[str, float]) -> Column:
     """Array of (label, score) of the starts that hold."""
-    ranked = sorted(vocabulary(), key=lambda w: (-idf[w], w))
-    rarest = F.slice(F.filter(_literal(ranked), lambda w: F.array_contains(seen, w)), 1, RARE_PER_FILE)
     common = min(idf.values(), default=1.0) / 2  # of words that aren't indexed
-    templates, postings = _templates(lambda w: idf.get(w, common)), _postings()
+    weight = lambda w: idf.get(w, common)
+    templates, postings = _templates(weight), _postings(weight)
+    live = F.filter(_lookups(weight), lambda x: F.forall(x["need"], lambda w: F.array_contains(seen, w)))
 
     def weighed(start: Column) -> Column:
         def of(t: Column) -> Column:
@@ -126,12 +145,17 @@ def _matches(words: Column, seen: Column, idf: dict[str, float]) -> Column:
 
         return C.let(F.get(templates, start["t"]), of)
 
-    def of(rare: Column) -> Column:
+    def of(live: Column) -> Column:
+        return C.let(F.array_distinct(F.flatten(live["probes"])), lambda rare: looked_up(live["t"], rare))
+
+    def looked_up(tried: Column, rare: Column) -> Column:
         hits = F.filter(F.transform(words, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda h: F.array_contains(rare, h["w"]))
-        starts = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(postings[h["w"]], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["o"]).alias("d"))))))
-        return F.filter(F.transform(starts, weighed), lambda m: m.isNotNull())
+        posted = lambda h: F.filter(postings[h["w"]], lambda p: F.array_contains(tried, p["t"]))
+        starts = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(posted(h), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["o"]).alias("d"))))))
+        held = F.filter(F.transform(starts, weighed), lambda m: m.isNotNull())
+        return F.when(F.size(tried) > 0, held).otherwise(F.expr("cast(array() as array<struct<label:string,score:double>>)"))
 
-    return C.let(rarest, of)
+    return C.let(live, of)
 
 
 def scan(docs: DataFrame) -> DataFrame:

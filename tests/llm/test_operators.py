@@ -62,6 +62,13 @@ def test_license_notice_without_base_phrase(spark):
     assert {r["doc_id"]: r["labels"] for r in license_scan.scan(d).collect()} == {1: "gpl-3", 2: ""}
 
 
+def test_every_notice_of_a_bundle_is_found(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files. "
+    texts = [mit + "This work is licensed under the GNU General Public License, version 3.", ". ".join(notice for _, notice, _ in license_scan.TEMPLATES)]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "gpl-3,mit", 1: ",".join(sorted({label for label, *_ in license_scan.TEMPLATES}))}
+
+
 def test_quality_rules(docs, none):
     for t, got in by_text(quality_rules.judge(docs), docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"):
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
