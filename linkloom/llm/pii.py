@@ -42,6 +42,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SOME = re.compile(r"[0-9@]")
 _AT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
 _NUMBER = re.compile(r"[0-9](?:[ ().-]{0,2}[0-9])++")
+_BLANKS = re.compile(r"[^ ]++")
+_SHAPES = re.compile(r"(?<![0-9])[0-9]{3}[ ().-]{1,2}(?:[0-9]{3}|[0-9]{2})[ ().-]{1,2}[0-9]{4}(?![0-9])")
 _NAMED = re.compile(r"(?:token|secret|password|passwd|api[_-]?key|auth|access[_-]?key)[\"']? ?[:=] ?[\"']?([^\s\"',;]{6,256})", re.I)
 _CODE = re.compile(r"[A-Za-z0-9_/+-]{20,}+")
 _ACCOUNT = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])")
@@ -100,6 +102,25 @@ def _order(span: tuple[int, str, int]) -> tuple[int, int, int]:
     return span[0], KINDS.index(span[1]), span[2]
 
 
+def numbers(text: str) -> set[tuple[int, int]]:
+    """Spans of 7 to 19 digits; they overlap where a run may hold several numbers.
+
+    Proposed are each run of digits with up to two separators between them, its parts between blanks, and what
+    in it is shaped 3-3-4 or 3-2-4. No two such shapes overlap by whole groups, so leftmost matches are all.
+    """
+    found = set()
+    for m in _NUMBER.finditer(text):
+        if m.end() - m.start() < 7:
+            continue
+        found.add(m.span())
+        for part in _BLANKS.finditer(text, m.start(), m.end()):
+            inner = text[part.start() : part.end()]
+            left = len(inner) - len(inner.lstrip("().-"))
+            found.add((part.start() + left, part.start() + len(inner.rstrip("().-"))))
+        found.update(x.span() for x in _SHAPES.finditer(text, m.start(), m.end()))
+    return {(a, b) for a, b in found if 7 <= len(_digits(text[a:b])) <= 19}
+
+
 def candidates(text: str) -> list[tuple[int, str, int]]:
     """What the high-recall generators propose beyond the fixed formats; spans may overlap."""
     found = []
@@ -109,7 +130,7 @@ def candidates(text: str) -> list[tuple[int, str, int]]:
             lo = max(0, m.start() - 66)
             found += [(lo + x.start(), "address", lo + x.end()) for x in _AT.finditer(text[lo : m.end() + 400]) if lo + x.start() < m.start() < lo + x.end()]
     if _SOME.search(text):
-        found += [(m.start(), "number", m.end()) for m in _NUMBER.finditer(text) if 7 <= len(_digits(m[0])) <= 19]
+        found += [(a, "number", b) for a, b in numbers(text)]
         found += [(m.start(), "secret", m.end()) for m in _CODE.finditer(text) if any("0" <= c <= "9" for c in m[0])]
         found += [(m.start(), "account", m.end()) for m in _ACCOUNT.finditer(text)]
     if "=" in text or ":" in text:

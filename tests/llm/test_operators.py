@@ -169,6 +169,17 @@ def test_pii(docs, none):
     assert "@" not in text["text"] and "<EMAIL>" in text["text"] and "<CARD>" in text["text"] and text["n_chars"] == len(text["text"])
 
 
+def test_pii_numbers_side_by_side():
+    trees, limits = pii.model()
+    found = lambda t: [t[a:b] for a, _, b in pii.all_spans([t], trees, limits)[0][1]]
+    assert found("call 415-555-0132 415-555-0199") == ["415-555-0132", "415-555-0199"]
+    assert found("123-45-6789 987-65-4321 111-22-3333") == ["123-45-6789", "987-65-4321", "111-22-3333"]
+    assert found("2024-05-01 415-555-0132") == ["415-555-0132"]
+    assert found("tel 415 555 0132 415 555 0199") == ["415 555 0132", "415 555 0199"]
+    assert found("fax (415) 555-0132 (415) 555-0199") == ["415) 555-0132", "415) 555-0199"]
+    assert found("on 2024-05-01 2024-05-02 2024-05-03") == []
+
+
 def test_pii_base_patterns_and_secrets():
     r = np.random.default_rng(2)
     texts = ["".join(r.choice(list("ab.@1203+-() 9\n%é"), r.integers(0, 60))) for _ in range(1500)]
