@@ -40,11 +40,12 @@ _IP = re.compile(r"[0-9]++(?:(?:\.[0-9]++){3})?")  # takes whole runs, so a long
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SOME = re.compile(r"[0-9@]")
+_SIGN = re.compile(r"[\[(]at[\])]", re.I)
 _AT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}){1,4}", re.I)
 _NUMBER = re.compile(r"[0-9](?:[ ().-]{0,2}[0-9])++")
 _BLANKS = re.compile(r"[^ ]++")
 _SHAPES = re.compile(r"(?<![0-9])[0-9]{3}[ ().-]{1,2}(?:[0-9]{3}|[0-9]{2})[ ().-]{1,2}[0-9]{4}(?![0-9])")
-_NAMED = re.compile(r"(?:token|secret|password|passwd|api[_-]?key|auth|access[_-]?key)[\"']? ?[:=] ?[\"']?([^\s\"',;]{6,256})", re.I)
+_NAMED = re.compile(r"(?:token|secret|password|passwd|api[_-]?key|auth|access[_-]?key)[\"']? ?[:=] ?[\"']?([^\s\"',;]{6,}+)", re.I)
 _CODE = re.compile(r"[A-Za-z0-9_/+-]{20,}+")
 _ACCOUNT = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])")
 _CUES = ("tel", "phone", "call", "fax", "mobile", "ssn", "social", "token", "secret", "password", "key", "iban", "account", "mail", "contact", "order", "page", "version", "isbn", "id", "total", "commit", "sha", "md5")
@@ -124,11 +125,9 @@ def numbers(text: str) -> set[tuple[int, int]]:
 def candidates(text: str) -> list[tuple[int, str, int]]:
     """What the high-recall generators propose beyond the fixed formats; spans may overlap."""
     found = []
-    low = text.lower()
-    if "at]" in low or "at)" in low:
-        for m in re.finditer(r"[\[(]at[\])]", low):
-            lo = max(0, m.start() - 66)
-            found += [(lo + x.start(), "address", lo + x.end()) for x in _AT.finditer(text[lo : m.end() + 400]) if lo + x.start() < m.start() < lo + x.end()]
+    for m in _SIGN.finditer(text):
+        lo = max(0, m.start() - 66)
+        found += [(lo + x.start(), "address", lo + x.end()) for x in _AT.finditer(text[lo : m.end() + 400]) if lo + x.start() < m.start() < lo + x.end()]
     if _SOME.search(text):
         found += [(a, "number", b) for a, b in numbers(text)]
         found += [(m.start(), "secret", m.end()) for m in _CODE.finditer(text) if any("0" <= c <= "9" for c in m[0])]

@@ -180,6 +180,14 @@ def test_pii_numbers_side_by_side():
     assert found("on 2024-05-01 2024-05-02 2024-05-03") == []
 
 
+def test_pii_long_secrets_and_addresses_after_lengthening_letters():
+    trees, limits = pii.model()
+    found = lambda t: [(kind, t[a:b]) for a, kind, b in pii.all_spans([t], trees, limits)[0][1]]
+    secret = "b44e15e0.9fd311c3+" * 34
+    assert ("secret", secret) in found(f"token={secret} end")
+    assert ("address", "anna [AT] example [dot] com") in found("\u0130" * 600 + " mail anna [AT] example [dot] com")
+
+
 def test_pii_base_patterns_and_secrets():
     r = np.random.default_rng(2)
     texts = ["".join(r.choice(list("ab.@1203+-() 9\n%é"), r.integers(0, 60))) for _ in range(1500)]
