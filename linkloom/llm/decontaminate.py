@@ -4,94 +4,52 @@ A benchmark item is in a document when the document holds at least 0.8 of the it
 shingles. Words are runs of letters and digits (bytes above ASCII count as letters), ASCII lower-cased;
 an item of fewer words is one shingle.
 
-Items fall into classes by the number m of their shingles, and the class fixes the sketch: the bottom
-floor(0.2 m) + 1 hashes. A document that holds 0.8 of the item can miss floor(0.2 m) at most, so it
-holds one hash of the sketch at least: the sketch loses no item, and a short item needs only a few
-hashes however long the document is. Documents shorter than the smallest share of every item are
-passed over. Candidates are verified by exact shingle containment, on words rather than hashes.
-
-Hashes of all words of a batch come from one running polynomial over its bytes, without a loop over
-words. The items are the stated query set: they go to the executors in blocks of bounded size, one
-pass over the documents a block, and no document moves.
-
-Defined cases: null and empty texts hold nothing; items without words are in no document; repeated rows
-give repeated rows; ties do not arise; with an empty table on either side nothing is found; columns
-beside ``doc_id``, ``text`` and ``item_id`` are not read, and ``remove`` hands them through untouched.
+Containment of a short set in a long one is searched with MinHash sketches of the short side only, since
+a document's own minima hold next to nothing of a short item. Items are partitioned by the power of two
+of their number m of shingles; a partition asks for ``hits_of`` hits, more for longer items. An item's
+sketch is its floor(0.2 m) + hits smallest hashes: a document that holds 0.8 of the item misses at most
+floor(0.2 m), so it has that many hits, and no item is lost however long the document is.
+
+Items stay distributed. Their sketches set bits of a filter of fixed size (FILTER_BITS, whatever the
+benchmark's size), the only thing that is broadcast; one pass over the documents leaves each document's
+hashes that are in it, and those few are joined with the sketches by equality. Documents and items with
+enough hits are verified by exact shingle containment, on words rather than hashes.
+
+Defined cases: null and empty texts hold nothing; items without words are in no document; texts of any
+length are read whole, a batch of 4 MiB or one text at a time; repeated rows give repeated rows; ties do
+not arise; with an empty table on either side nothing is found; columns beside ``doc_id``, ``text`` and
+``item_id`` are not read, and ``remove`` hands them through untouched whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import hashing as H
 
 SHINGLE, SHARE = 5, 0.8
-BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
+FILTER_BITS = 1 << 25
+_WORDS = FILTER_BITS // 64
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_IS_WORD = np.zeros(256, bool)
-_IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 to the 64
-_INVERSE = pow(_P, -1, 1 << 64)
-_STEP = 1 << 22  # bytes hashed at once
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    size = 1
-    while size < n:
-        more = min(size, n - size)
-        with np.errstate(over="ignore"):
-            out[size : size + more] = out[:more] * np.uint64(pow(base, size, 1 << 64))
-        size += more
-    return out
-
-
-_TABLES: dict[int, np.ndarray] = {}
-
-
-def _table(base: int, n: int) -> np.ndarray:
-    if base not in _TABLES or len(_TABLES[base]) < n:
-        _TABLES[base] = _powers(base, max(n, 1 << 16))
-    return _TABLES[base]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and ends of the words in bytes ``data``."""
-    word = np.concatenate(([False], _IS_WORD[data], [False]))
-    edges = np.flatnonzero(word[1:] != word[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64), ends
-    with np.errstate(over="ignore"):
-        running = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _table(_P, len(data))[: len(data)])))
-        own = (running[ends] - running[starts]) * _table(_INVERSE, len(data) + 1)[starts]
-        return _mix(own), ends
-
-
-def shingle_hashes(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
-    """One hash for each run of ``width`` words, or for all of them if there are fewer."""
-    if not len(words):
-        return words
-    width = min(width, len(words))
-    with np.errstate(over="ignore"):
-        out = words[: len(words) - width + 1].copy()
-        for k in range(1, width):
-            out = _mix(out * np.uint64(_P) + words[k : len(words) - width + 1 + k])
-    return out
+_ITEM = "struct<m:int,width:int,hits:int,sketch:array<long>>"
+
+
+def needed(m: int, share: float = SHARE) -> int:
+    """The fewest of ``m`` shingles that make the share."""
+    return max(1, math.ceil(share * m - 1e-9))
+
+
+def hits_of(m: int) -> int:
+    """The hits that a partition of sizes asks for: 1 below 16 shingles, then one more with each power of two."""
+    return max(1, m.bit_length() - 3)
 
 
 def shingles(text: bytes, width: int = SHINGLE) -> set[tuple[bytes, ...]]:
@@ -100,143 +58,109 @@ def shingles(text: bytes, width: int = SHINGLE) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[k:] for k in range(width)), strict=False)) if words else set()
 
 
-class Index:
-    """Sketches of a block of items."""
-
-    def __init__(self, items: list[tuple[int, bytes]], share: float = SHARE):
-        self.items = [(i, s) for i, t in items if (s := shingles(t))]
-        self.share = share
-        found: dict[int, list[int]] = {}
-        self.least = min((self.need(len(s)) for _, s in self.items), default=0)
-        for k, (_, s) in enumerate(self.items):
-            own = {int(shingle_hashes(word_hashes(np.frombuffer(b" ".join(x), np.uint8))[0], len(x))[0]) for x in s}
-            for h in sorted(own)[: len(s) - self.need(len(s)) + 1]:
-                found.setdefault(h, []).append(k)
-        self.widths = sorted({len(next(iter(s))) for _, s in self.items})
-        self.keys = np.array(sorted(found), np.uint64)
-        self.at = [found[int(h)] for h in self.keys]
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[self.keys & np.uint64((1 << 20) - 1)] = True
-
-    def need(self, m: int) -> int:
-        """The fewest of ``m`` shingles that make the share."""
-        n = int(self.share * m)
-        while n < self.share * m - 1e-9:
-            n += 1
-        return max(1, n)
-
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the hashes that are in a sketch, and which key each is."""
-        maybe = np.flatnonzero(self.filter[hashes & np.uint64((1 << 20) - 1)])
-        if not len(maybe) or not len(self.keys):
-            return maybe[:0], maybe[:0]
-        key = np.minimum(np.searchsorted(self.keys, hashes[maybe]), len(self.keys) - 1)
-        same = self.keys[key] == hashes[maybe]
-        return maybe[same], key[same]
-
-    def search(self, buffer: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(document, item, shared, of) for each item that a document holds; texts stand in ``buffer`` at ``offsets``."""
-        for lo, hi in _portions(offsets):
-            data = buffer[offsets[lo] : offsets[hi]]
-            words, ends = word_hashes(_fenced(data, offsets[lo : hi + 1] - offsets[lo]))
-            bounds = np.searchsorted(ends, offsets[lo : hi + 1] - offsets[lo] + np.arange(hi - lo + 1), side="right")
-            bounds[0] = 0
-            candidates: set[tuple[int, int]] = set()
-            for width in self.widths:
-                places, keys = self.look_up(shingle_hashes(words, width))
-                of = np.searchsorted(bounds, places, side="right") - 1
-                inside = (of < hi - lo) & (places + width <= bounds[np.minimum(of + 1, hi - lo)])
-                for d, key in {*zip(of[inside].tolist(), keys[inside].tolist(), strict=True)}:
-                    candidates.update((d, k) for k in self.at[key])
-            last, held = -1, {}
-            for d, k in sorted(candidates):
-                if d != last:
-                    text, last, held = bytes(buffer[offsets[lo + d] : offsets[lo + d + 1]]), d, {}
-                item, own = self.items[k]
-                width = len(next(iter(own)))
-                if width not in held:
-                    words_of = _WORD.findall(text.lower())
-                    held[width] = set(zip(*(words_of[j:] for j in range(width)), strict=False))
-                shared = len(own & held[width])
-                if shared >= self.need(len(own)):
-                    yield lo + d, item, shared, len(own)
-
-
-def _portions(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of texts of _STEP bytes or one text."""
-    lo, n = 0, len(offsets) - 1
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _STEP, side="right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
-
-
-def _fenced(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The texts with a blank after each, so that no word runs from one into the next."""
-    n = len(offsets) - 1
-    out = np.full(len(data) + n, 32, np.uint8)
-    shift = np.repeat(np.arange(n), np.diff(offsets))
-    out[np.arange(len(data)) + shift] = data
-    return out
-
-
-def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts of a column and where each begins and ends; null is empty."""
-    texts = column.cast(pa.large_binary()).fill_null(b"")
-    if not len(texts):
-        return np.empty(0, np.uint8), np.zeros(1, np.int64)
-    _, offsets, data = texts.buffers()
-    return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-
-
-def _batches(rows, index: Index, ids: str):
-    for batch in rows:
-        data, offsets = _bytes(batch.column(1))
-        found = [*index.search(data, offsets)]
-        at, item, shared, of = zip(*found, strict=True) if found else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(shared, pa.int64()), pa.array(of, pa.int64())], names=[ids, "item_id", "n_shared", "n_item"])
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in blocks of bounded size, streamed to the driver partition by partition."""
-    block, size = [], 0
-    for r in benchmark.select("item_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).toLocalIterator():
-        if block and (len(block) >= BLOCK_ITEMS or size + len(r["text"]) > BLOCK_BYTES):
-            yield block
-            block, size = [], 0
-        block.append((r["item_id"], bytes(r["text"])))
-        size += len(r["text"])
-    yield block
+def sketch(text: bytes, share: float = SHARE) -> tuple[int, int, int, list[int]]:
+    """Number and width of an item's shingles, the hits that its partition asks for, and its smallest hashes."""
+    own = shingles(text)
+    if not own:
+        return 0, 0, 0, []
+    words, _ = H.word_hashes(np.frombuffer(text, np.uint8))
+    width, m = len(next(iter(own))), len(own)
+    hits = min(hits_of(m), needed(m, share))
+    hashes = np.unique(H.shingle_hashes(words, width))[: m - needed(m, share) + hits]
+    return m, width, hits, hashes.view(np.int64).tolist()
+
+
+def _sketched(benchmark: DataFrame, share: float) -> DataFrame:
+    """The items that have words, numbered, with their sketches, written once."""
+
+    @F.pandas_udf(_ITEM)
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sketch(bytes(t), share) for t in texts], columns=["m", "width", "hits", "sketch"])
+
+    text = C.text_of().cast("binary")
+    rows = benchmark.select("item_id", text.alias("item_text"), of(text).alias("s"), F.monotonically_increasing_id().alias("item"))
+    return C.materialize(rows.select("item_id", "item_text", "item", "s.*"), "items").filter("m > 0")
+
+
+def _filter(items: DataFrame) -> np.ndarray:
+    """A bit for each hash of a sketch: FILTER_BITS of them, gathered as at most _WORDS numbers."""
+    h = items.select(F.explode("sketch").alias("h"))
+    word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(_WORDS - 1).cast("int"), F.expr("shiftleft(1L, cast(h & 63 as int))")
+    out = np.zeros(_WORDS, np.int64)
+    for r in h.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
+        out[r["w"]] = r["b"]
+    return out.view(np.uint64)
+
+
+def hits_in(column: pa.Array, bits: np.ndarray, widths: list[int]) -> pa.Array:
+    """Of each text the distinct hashes of its shingles that are in the filter."""
+    of, found = [], []
+    for lo, hi, words, bounds in H.words_of(column):
+        for width in widths:
+            h = H.shingle_hashes(words, width)
+            at = np.flatnonzero(bits[(h >> np.uint64(6)) & np.uint64(_WORDS - 1)] >> (h & np.uint64(63)) & np.uint64(1))
+            doc = np.searchsorted(bounds, at, side="right") - 1
+            inside = (doc < hi - lo) & (at + width <= bounds[np.minimum(doc + 1, hi - lo)])
+            of.append(doc[inside] + lo)
+            found.append(h[at[inside]].view(np.int64))
+    doc = np.concatenate(of) if of else np.empty(0, np.int64)
+    both = np.unique(np.stack([doc, np.concatenate(found) if found else doc], 1), axis=0)
+    offsets = np.searchsorted(both[:, 0], np.arange(len(column) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(both[:, 1], pa.int64()))
+
+
+def _hits(items: DataFrame, text: Column) -> Column:
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most SHINGLE of them
+    shared = items.sparkSession.sparkContext.broadcast(_filter(items))
+
+    @F.arrow_udf("array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        return hits_in(texts, shared.value, widths)
+
+    return of(text)
+
+
+def _held(suspects: DataFrame, items: DataFrame, share: float) -> DataFrame:
+    """``at``, ``item_id``, ``n_shared``, ``n_item`` of the items that rows (at, text, hits) hold."""
+    posted = items.select("item", F.col("hits").alias("asked"), F.explode("sketch").alias("h"))
+    met = suspects.select("at", F.explode("hits").alias("h")).join(posted, "h").groupBy("at", "item", "asked").count().filter("count >= asked").select("at", "item")
+
+    @F.pandas_udf("long")
+    def shared_with(texts: pd.Series, of: pd.Series) -> pd.Series:
+        last, words, held, out = None, [], {}, []
+        for t, item in zip(texts, of, strict=True):
+            own = shingles(bytes(item))
+            width = len(next(iter(own)))
+            if t is not last and t != last:
+                last, words, held = t, _WORD.findall(bytes(t).lower()), {}
+            if width not in held:
+                held[width] = set(zip(*(words[j:] for j in range(width)), strict=False))
+            out.append(len(own & held[width]))
+        return pd.Series(out, dtype="int64")
+
+    pairs = met.join(items.select("item", "item_id", "item_text", F.col("m").cast("long").alias("n_item")), "item").join(suspects.select("at", F.col("text").cast("binary").alias("text")), "at")
+    found = pairs.select("at", "item_id", shared_with("text", "item_text").alias("n_shared"), "n_item")
+    return found.filter(F.col("n_shared") >= F.greatest(F.lit(1), F.ceil(share * F.col("n_item") - 1e-9)))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, ids: str = "doc_id") -> DataFrame:
     """``doc_id``, ``item_id``, ``n_shared`` and ``n_item`` shingles and ``containment`` of each item that a document holds."""
-    texts = docs.select(F.col(ids).cast("long").alias(ids), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    found = None
-    for block in _blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, share))
-        part = texts.mapInArrow(lambda rows, index=index: _batches(rows, index.value, ids), f"{ids} long, item_id long, n_shared long, n_item long")
-        found = part if found is None else found.unionByName(part)
-    return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    items = _sketched(benchmark, share)
+    text = C.text_of()
+    marked = docs.select(F.col(ids).alias("id"), text.alias("text"), _hits(items, text).alias("hits"), F.monotonically_increasing_id().alias("at"))
+    suspects = C.materialize(marked.filter(F.size("hits") > 0), "suspects")
+    found = _held(suspects, items, share).join(suspects.select("at", "id"), "at")
+    return found.select(F.col("id").alias(ids), "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with their columns. Rows are passed through, not joined."""
-    for block in _blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block, share))
-        docs = docs.mapInArrow(_without(index, docs.columns.index("text")), docs.schema)
-    return docs
-
-
-def _without(index, column: int):
-    def clean(rows):
-        for batch in rows:
-            data, offsets = _bytes(batch.column(column))
-            held = np.zeros(batch.num_rows, bool)
-            held[[at for at, *_ in index.value.search(data, offsets)]] = True
-            yield batch.filter(pa.array(~held))
-
-    return clean
+    """The rows of ``docs`` that hold no item, with their columns. Only rows with hits are joined."""
+    items = _sketched(benchmark, share)
+    text = C.text_of()
+    marked = C.materialize(docs.select(F.struct("*").alias("row"), _hits(items, text).alias("hits"), F.monotonically_increasing_id().alias("at")), "marked")
+    suspects = marked.filter(F.size("hits") > 0)
+    held = _held(suspects.select("at", F.coalesce(F.col("row")["text"], F.lit("")).alias("text"), "hits"), items, share).select("at").distinct()
+    return marked.filter(F.size("hits") == 0).select("row.*").unionByName(suspects.join(held, "at", "left_anti").select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
