@@ -1,35 +1,50 @@
-"""SimHash near-duplicates through deletion-variant signatures.
-
-A fingerprint is the bitwise majority of the XXH64 hashes of a text's word shingles. Two fingerprints
-within two bits have, cut into two segments of 32 bits, one segment that differs by at most one bit.
-So each segment is indexed under its 32 one-wildcard variants (that bit deleted); fingerprints that
-meet under a variant are verified by their distance.
-
-Exact copies are one fingerprint from the start. A variant with two or three fingerprints gives its
-pairs from the group's count, minimum, maximum and exclusive-or: no lists, no self-join. Fingerprints
-of fuller variants, where pairs could grow with the square of the group, meet under the 65 values
-within one bit of each instead: two fingerprints share such a centre exactly when they are within two
-bits, at most 65 fingerprints can share one, and each links to the least. No link is lost; nothing is
-capped.
-
-Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows
-are copies of each other; null ids never are a component's id unless a component has no other; ties go
-to the smallest id; an empty table gives an empty table. Columns beside ``doc_id`` and ``text`` are not read, and
-``keep_one`` hands them through untouched.
+"""Near-duplicates through deletion-variant signatures.
+
+A signature is cut into few enough segments that near signatures have one segment which differs in at
+most one place. Each segment is indexed under its one-wildcard variants (that place deleted); texts that
+meet under a variant are verified.
+
+``components`` (the query) works on SimHash fingerprints, the bitwise majority of the XXH64 hashes of a
+text's three-word shingles: 64 bits in two segments of 32, near at two differing bits. Exact copies are
+one fingerprint from the start. Fingerprints that meet under any variant are linked through the 65 values
+within one bit of each: two fingerprints share such a centre exactly when they are within two bits, at
+most 65 fingerprints can share one, and each links to the least. This verifies all links in linear work
+however full a variant is; none is lost.
+
+``keep_one`` (the pipeline's stage) takes texts with a Jaccard similarity of SIMILARITY or more of their
+distinct five-word shingles. Bits can't carry that: at 0.8 about nine of 64 differ, so segments with one
+differing bit would be seven bits long and hold everything. So its signature has PLACES min-hashes in
+place of bits, in segments of SEGMENT_PLACES of which one may differ: of two texts at 0.8 a segment agrees
+so far with chance 0.66, one of four with 0.985, at 0.9 with 0.9998. Of the texts that meet under a
+variant the one that meets most others stands for them and is compared with each by their words; each
+text that is unlike any of these is also compared, under each of its variants, with one drawn from all who
+meet there and one from those who meet most. So a text has at most three partners a variant, and work is
+linear however many meet; a link is missed only where a text is unlike all of them and yet like another.
+
+Defined cases: null and empty texts are one group of copies; a text of fewer words than a shingle has the
+whole of them as its one shingle; texts of any length are read whole; repeated rows are copies of each
+other; null ids never are a component's id unless a component has no other; ties go to the smallest id,
+then to the first row; an empty table gives an empty table. Columns beside ``doc_id`` and ``text`` are not
+read, and ``keep_one`` hands them through untouched whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import hashing as H
 from .components import connected_components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
 SEGMENT = 32
+STAGE_SHINGLE, SIMILARITY = 5, 0.8
+PLACES, SEGMENT_PLACES = 24, 6
+AT_ONCE = 500  # partners of one text in a task
 _BLOCK = 255 * 256  # shingles at once; 255 of them can be summed in a byte
 
 
@@ -66,10 +81,6 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     return of(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
-
-
 def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) between different fingerprints ``fp`` within DISTANCE that connect as all such pairs do."""
     low = F.lit((1 << SEGMENT) - 1)
@@ -77,24 +88,17 @@ def links(prints: DataFrame) -> DataFrame:
     segment = F.when(k < SEGMENT, F.col("fp").bitwiseAND(low)).otherwise(F.shiftrightunsigned("fp", SEGMENT))
     gone = F.element_at(F.array(*[F.lit(~(1 << p) & ((1 << SEGMENT) - 1)) for p in range(SEGMENT)]), k % SEGMENT + 1)
     variants = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(2 * SEGMENT - 1))).alias("k")).select("fp", F.shiftleft(k.cast("long"), SEGMENT).bitwiseOR(segment.bitwiseAND(gone)).alias("variant"))
-    groups = C.materialize(variants.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("x")).filter("n > 1"), "variants")
-    three = groups.filter("n = 3").withColumn("mid", F.expr("x ^ lo ^ hi"))
-    pairs = groups.filter("n < 4").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    pairs = pairs.unionByName(three.select(F.col("lo").alias("a"), F.col("mid").alias("b"))).unionByName(three.select(F.col("mid").alias("a"), F.col("hi").alias("b"))).filter(_near("a", "b"))
-    full = groups.filter("n > 3")
-    if full.isEmpty():
-        return pairs.distinct()
+    met = C.materialize(variants.groupBy("variant").agg(F.count("*").alias("n")).filter("n > 1").select("variant"), "variants")
     # A variant's members are the fingerprints with one of its two segments: 2 rows each to join, not 64.
     kind = F.shiftright("variant", SEGMENT)
     bit = F.element_at(F.array(*[F.lit(1 << p) for p in range(SEGMENT)]), (kind % SEGMENT + 1).cast("int"))
     masked = F.col("variant").bitwiseAND(low)
-    whole = full.select((kind < SEGMENT).alias("is_low"), F.explode(F.array(masked, masked.bitwiseOR(bit))).alias("segment")).distinct()
+    whole = met.select((kind < SEGMENT).alias("is_low"), F.explode(F.array(masked, masked.bitwiseOR(bit))).alias("segment")).distinct()
     cut = F.array(F.struct(F.lit(True).alias("is_low"), F.col("fp").bitwiseAND(low).alias("segment")), F.struct(F.lit(False).alias("is_low"), F.shiftrightunsigned("fp", SEGMENT).alias("segment")))
-    crowded = prints.select("fp", F.inline(cut)).join(whole, ["is_low", "segment"], "left_semi").select("fp").distinct()
+    near = prints.select("fp", F.inline(cut)).join(whole, ["is_low", "segment"], "left_semi").select("fp").distinct()
     bits = F.array(F.lit(0).cast("long"), *[F.lit(1 << p if p < 63 else -(1 << 63)) for p in range(64)])
-    centres = crowded.select("fp", F.explode(bits).alias("bit")).groupBy(F.col("fp").bitwiseXOR(F.col("bit")).alias("centre")).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    stars = centres.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
-    return pairs.unionByName(stars).distinct()
+    centres = near.select("fp", F.explode(bits).alias("bit")).groupBy(F.col("fp").bitwiseXOR(F.col("bit")).alias("centre")).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    return centres.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b").distinct()
 
 
 def _components(prints: DataFrame) -> DataFrame:
@@ -113,18 +117,114 @@ def components(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _seeds(n: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(1, 1 << 63, (n, 2), dtype=np.uint64) | np.uint64(1)
+
+
+def min_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the number of its shingles, repeats included, and PLACES min-hashes; texts of fewer words have none."""
+    n, out, seeds = np.zeros(len(column), np.int64), np.zeros((len(column), PLACES), np.uint64), _seeds(PLACES)
+    for lo, hi, words, bounds in H.words_of(column, H.VISIBLE):
+        h = H.shingle_hashes(words, STAGE_SHINGLE)
+        size = np.maximum(np.diff(bounds) - STAGE_SHINGLE + 1, 0)
+        some = np.flatnonzero(size)
+        n[lo:hi] = size
+        if not len(some):
+            continue
+        place = np.arange(len(h))
+        outside = place + STAGE_SHINGLE > bounds[np.searchsorted(bounds, place, side="right")]
+        for k in range(PLACES):
+            with np.errstate(over="ignore"):
+                v = H.mix(h * seeds[k, 0] + seeds[k, 1])
+            v[outside] = np.uint64((1 << 64) - 1)
+            out[some + lo, k] = np.minimum.reduceat(v, bounds[:-1][some])
+    return n, out
+
+
+def variants(column: pa.Array) -> pa.Array:
+    """Of each text the hashes of all segments of its signature with one place deleted; none for texts without a shingle."""
+    n, signature = min_hashes(column)
+    some, keys = np.flatnonzero(n), []
+    for start in range(0, PLACES, SEGMENT_PLACES):
+        for gone in range(start, start + SEGMENT_PLACES):
+            key = np.full(len(some), gone + 1, np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(start, start + SEGMENT_PLACES):
+                    if k != gone:
+                        key = H.mix(key * np.uint64(0x9E3779B97F4A7C15) + signature[some, k])
+            keys.append(key.view(np.int64))
+    offsets = np.concatenate(([0], np.cumsum((n > 0) * PLACES))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.stack(keys, 1).ravel(), pa.int64()))
+
+
+def shingles(text: bytes) -> set[tuple[bytes, ...]]:
+    words = text.lower().split()
+    width = min(STAGE_SHINGLE, len(words))
+    return set(zip(*(words[k:] for k in range(width)), strict=False)) if words else set()
+
+
+def alike(a: set, b: set) -> bool:
+    """Is the Jaccard similarity SIMILARITY or more? Two empty sets are alike."""
+    both = len(a & b)
+    return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) of nodes whose ``texts`` (node, text) are alike; a ``b`` with many partners is dealt to many tasks."""
+    parts = F.ceil(F.col("n") / AT_ONCE).cast("int")
+    many = pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", parts.alias("parts"))
+    dealt = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    copies = many.join(texts, F.col("b") == F.col("node")).select("b", F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    @F.pandas_udf("boolean")
+    def near(of_a: pd.Series, of_b: pd.Series) -> pd.Series:
+        last, held, out = None, set(), []
+        for x, y in zip(of_a, of_b, strict=True):
+            if last is None or y != last:
+                last, held = y, shingles(bytes(y))
+            out.append(alike(shingles(bytes(x)), held))
+        return pd.Series(out, dtype=bool)
+
+    both = dealt.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(copies, ["b", "part"])
+    return both.filter(near("text_a", "text_b")).select("a", "b")
+
+
+def _stars(met: DataFrame, weight: Column) -> DataFrame:
+    """Distinct pairs (a, b) of rows (key, node, ...) where ``b`` is the node of most ``weight`` of a key and ``a`` another."""
+    stand = met.groupBy("key").agg(F.max(F.struct(weight.alias("weight"), F.col("node").alias("b"))).alias("s")).select("key", F.col("s.b").alias("b"))
+    return met.join(stand, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _links_of_texts(groups: DataFrame) -> DataFrame:
+    """Edges (a, b) between the nodes of ``groups`` (node, text, keys) that are alike."""
+    rows = groups.select("node", F.explode("keys").alias("key"))
+    full = rows.groupBy("key").count().filter("count > 1")
+    met = C.materialize(rows.join(full, "key"), "met")
+    company = met.groupBy("node").agg(F.sum("count").alias("company"))
+    texts = groups.select("node", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    known = met.join(company, "node")
+    pairs = C.materialize(_stars(known, F.col("company")), "pairs")
+    first = C.materialize(_verified(pairs, texts), "alike")
+    unlike = pairs.join(first, ["a", "b"], "left_anti").select("a").distinct()
+    drawn = F.xxhash64("key", "node")
+    others = _stars(met, drawn).unionByName(_stars(known, F.struct("company", drawn))).distinct()
+    others = others.join(unlike, "a", "left_semi").join(pairs, ["a", "b"], "left_anti")
+    return first.unionByName(_verified(C.materialize(others, "pairs"), texts))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), fingerprint(F.col("text")).alias("fp"), F.monotonically_increasing_id().alias("at"))
-    marked = C.materialize(rows, "fingerprints")
-    # Rows in order of (id, place), null ids last, as one number each row: the place decides between equal ids.
-    first = marked.groupBy("fp").agg(F.min("id").alias("id"), F.min("at").alias("any"))
-    exact = marked.join(first.withColumnRenamed("id", "least"), "fp").filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("fp", "id").agg(F.min("at").alias("at"))
-    prints = C.materialize(exact.select("fp", "id", "at"), "prints")
-    labels = connected_components(links(prints.select("fp")))
-    known = prints.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("id", "at", F.coalesce("label", "fp").alias("label"))
-    least = known.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "at")).alias("m"))
-    stay = least.select(F.col("m.at").alias("at"))
+    """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays."""
+    keys = F.arrow_udf(variants, "array<long>")
+    words = F.trim(F.regexp_replace(C.ascii_lower(C.text_of()), rf"[{C.SPACE}]+", " "))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.md5(words.cast("binary")).alias("copy"), keys(C.text_of()).alias("keys"), F.monotonically_increasing_id().alias("at"))
+    marked = C.materialize(rows, "signatures")
+    # One node for each text, the place of its first row; rows in order of (id, place), null ids last.
+    first = marked.groupBy("copy").agg(F.min("at").alias("node"), F.min(F.struct(F.col("id").isNull(), "id", "at")).alias("least"))
+    nodes = C.materialize(first.select("node", "least"), "nodes")
+    of_node = marked.select("at", F.col("row")["text"].alias("text"), "keys").join(nodes.select(F.col("node").alias("at")), "at", "left_semi").withColumnRenamed("at", "node")
+    labels = connected_components(_links_of_texts(of_node))
+    known = nodes.join(labels, "node", "left").select("least", F.coalesce("label", "node").alias("label"))
+    stay = known.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.at").alias("at"))
     return marked.join(stay.hint("shuffle_hash"), "at", "left_semi").select("row.*")
 
 
