@@ -5,12 +5,14 @@ tokens as its pre-tokens have together. Offline, every vocabulary string that en
 alone; those that come out as one token are proven whole tokens and count as one wherever they are a
 pre-token. Only other pre-tokens are merged, by the library itself, each once while it is remembered.
 
-Texts with characters for which this module's pre-tokeniser is not known to agree with the library's
-(beyond Latin letters, common punctuation and plain white space), or with the start of a special
-token's string, are encoded whole by the library.
-
-Defined cases: null and empty texts have no tokens and no bytes; repeated rows give repeated rows; an
-empty table gives an empty table; only ``doc_id`` and ``text`` are read.
+Pre-tokens never cross white space, so a text is taken in parts between it. A part with characters for
+which this module's pre-tokeniser is not known to agree with the library's (beyond Latin letters, common
+punctuation and plain white space), or with the start of a special token's string, is encoded by the
+library as it stands, once while it is remembered; all other parts of such a text take the shortcut.
+
+Defined cases: null and empty texts have no tokens and no bytes; texts of any length are counted whole;
+ties do not arise; repeated rows give repeated rows; an empty table gives an empty table; only ``doc_id``
+and ``text`` are read, so clashing names of other columns do no harm.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ REMEMBERED = 600_000  # pre-tokens a worker keeps, besides the proven ones
 #: Lower-cased letters and numbers below U+0180; the other classes follow from them.
 _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \t-\r{_LETTERS}{_NUMBERS}]+")
+PART = re.compile("[^\t\n\r ]+")
 UNSURE = re.compile("[^\t-\r -~\xa1-ſ‐-‧€]|İ|<\\|")
 _BATCH = 128
 
@@ -81,6 +84,7 @@ class Counter:
         self.tokenizer.no_padding()
         self.whole = dict.fromkeys(whole, 1)
         self.known = dict(self.whole)
+        self.odd: dict[str, int] = {}
         self.letters = [c for _, c in sorted((b, c) for c, b in _bytes_of_letters().items())]
 
     def _encoded(self, texts: list[str]) -> list[int]:
@@ -91,20 +95,27 @@ class Counter:
         merge = self.tokenizer.model.tokenize
         return [len(merge(p if p.isascii() else "".join(self.letters[b] for b in p.encode()))) for p in pieces]
 
+    def _pieces(self, text: str) -> tuple[list[str], list[str]]:
+        """The pre-tokens of a text's sure parts, and its unsure parts."""
+        if not UNSURE.search(text):
+            return PIECE.findall(text.lower()), []
+        parts = PART.findall(text)
+        unsure = [p for p in parts if UNSURE.search(p)]
+        return PIECE.findall(" ".join(p for p in parts if not UNSURE.search(p)).lower()), unsure
+
     def count(self, texts: list[str]) -> list[int]:
-        out = [0] * len(texts)
-        plain = {k: PIECE.findall(t.lower()) for k, t in enumerate(texts) if not UNSURE.search(t)}
-        rest = [k for k in range(len(texts)) if k not in plain]
-        for k, n in zip(rest, self._encoded([texts[k] for k in rest]), strict=True):
-            out[k] = n
-        new = list(set().union(*plain.values()) - self.known.keys())
+        found = [self._pieces(t) for t in texts]
+        new = set().union(*(p for p, _ in found)) - self.known.keys()
+        odd = set().union(*(u for _, u in found)) - self.odd.keys()
         if len(self.known) + len(new) > len(self.whole) + REMEMBERED:
             self.known = dict(self.whole)
-            new = list(set().union(*plain.values()) - self.known.keys())
+            new = set().union(*(p for p, _ in found)) - self.known.keys()
+        if len(self.odd) + len(odd) > REMEMBERED:
+            self.odd, odd = {}, set().union(*(u for _, u in found))
+        new, odd = list(new), list(odd)
         self.known.update(zip(new, self._merged(new), strict=True))
-        for k, pieces in plain.items():
-            out[k] = sum(map(self.known.__getitem__, pieces))
-        return out
+        self.odd.update(zip(odd, self._encoded(odd), strict=True))
+        return [sum(map(self.known.__getitem__, p)) + sum(map(self.odd.__getitem__, u)) for p, u in found]
 
 
 _COUNTERS: dict[int, Counter] = {}
