@@ -7,13 +7,14 @@ bytes) are max-pooled; a document's chunks are combined by their mean and their
 dense layer makes one probability of that.
 
 It is trained on the driver on at most SAMPLE labelled rows of each class with at most SAMPLE_BYTES of
-text (whole texts, those with the smallest hashes of their ids), weighted back to the classes' shares
-of all labelled rows. Rows with crc32(doc_id) mod 5 = 0 are never learned from. Labels, lang, source
+text each, so on 75 MiB at most (whole texts, those with the smallest hashes of their ids), weighted back
+to the classes' shares of all labelled rows. Rows with crc32(doc_id) mod 5 = 0 are never learned from. Labels, lang, source
 and doc_id are no inputs of a score.
 
 Defined cases: null and empty texts are scored as one blank chunk; several labels of one id count as
 the smallest; without labels of both classes every score is the share of label 1 (0.5 without any);
-repeated rows give repeated rows; an empty table gives an empty table; other columns are not read.
+texts of any length are scored whole; a score equal to the threshold is label 1; repeated rows give
+repeated rows; an empty table gives an empty table; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SAMPLE, SAMPLE_BYTES = 1200, 1 << 18
+SAMPLE, SAMPLE_BYTES = 1200, 1 << 15
 FOLDS, THRESHOLD = 5, 0.3
 CHUNK, OVERLAP = 256, 32
 BLOCK, DIM, FILTERS, HIDDEN = 4, 8, 24, 16
