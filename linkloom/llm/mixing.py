@@ -10,11 +10,13 @@ cells is as large as the margins have values together, not as there are document
 task of window functions without any shuffle, and it goes to the documents by a join whose side
 adaptive execution broadcasts only if it is small.
 
-Topics, unless there is a column ``topic``, follow from whole words that mark a kind of text.
+Topics come from the column that a caller names, as a corpus with topics has one; without it they follow
+from whole words that mark a kind of text, since the tables here have no topics.
 
 Defined cases: null and empty texts have no tokens and take their cell's probability; null sources and
 languages are values of their own; ties in topics go to the first listed; repeated rows are drawn alike;
-an empty table gives an empty table; other columns are handed through untouched.
+texts of any length are counted whole; an empty table gives an empty table; other columns are handed
+through untouched, one named ``topic`` too.
 """
 
 from __future__ import annotations
@@ -39,10 +41,10 @@ def topic_of(words: Column) -> Column:
     return found
 
 
-def _described(docs: DataFrame) -> DataFrame:
+def _described(docs: DataFrame, topic: str | None) -> DataFrame:
     def of(w: Column) -> Column:
         n = F.size(w) - F.when(w[0] == "", 1).otherwise(0) - F.when((F.size(w) > 1) & (w[F.size(w) - 1] == ""), 1).otherwise(0)
-        return F.struct(n.cast("long").alias("n_tokens"), (F.col("topic").cast("string") if "topic" in docs.columns else topic_of(w)).alias("topic"))
+        return F.struct(n.cast("long").alias("n_tokens"), (F.col(topic).cast("string") if topic else topic_of(w)).alias("topic"))
 
     return docs.select(F.struct("*").alias("row"), "doc_id", "source", "lang", C.let(F.split(C.text_of(), rf"[{C.SPACE}]+"), of).alias("d"))
 
@@ -71,9 +73,9 @@ def draw_of(doc_id: Column, n_tokens: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def _mixed(docs: DataFrame, keep_rows: bool, **how) -> DataFrame:
+def _mixed(docs: DataFrame, keep_rows: bool, topic: str | None = None, **how) -> DataFrame:
     columns = [F.col("row")] if keep_rows else []
-    d = C.materialize(_described(docs).select(*columns, "doc_id", "source", "lang", "d.topic", "d.n_tokens"), "described")
+    d = C.materialize(_described(docs, topic).select(*columns, "doc_id", "source", "lang", "d.topic", "d.n_tokens"), "described")
     cells = d.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
     rates = C.materialize(rake(cells, **how), "rates").select(*[F.col(c).alias(f"r_{c}") for c in ("source", "lang", "topic")], "probability")
     same = F.col("source").eqNullSafe(F.col("r_source")) & F.col("lang").eqNullSafe(F.col("r_lang")) & F.col("topic").eqNullSafe(F.col("r_topic"))
