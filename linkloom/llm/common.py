@@ -20,11 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     A cluster names it in ``spark.checkpoint.dir``. Where that is unset, one is taken and recorded in the
-    session: in the warehouse, which a cluster shares too, and only in local mode on the machine itself.
+    session: in the warehouse if the cluster names one, and only in local mode on the machine itself.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         local = spark.sparkContext.master.startswith("local")
+        if not local and not spark.sparkContext.getConf().contains("spark.sql.warehouse.dir"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"{'/tmp' if local else spark.conf.get('spark.sql.warehouse.dir')}/checkpoints/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -1,4 +1,4 @@
-"""Queries of this subpackage, and the SQL of those that SQL can express.
+"""Queries of this subpackage (the pipeline is registered beside it), and the SQL of those that SQL can express.
 
 No SQL: op1 and op5 (learned weights over counted statistics), op4 (XXH64 and majority bits), op7 and
 op10 (learned models), op8 (byte-pair merges). Tests hold these against brute force.
@@ -6,8 +6,6 @@ op10 (learned models), op8 (byte-pair merges). Tests hold these against brute fo
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import chat_format, decontaminate, license_scan, mixing, pii, quality_model, quality_rules, simhash, sql, token_count, url_filter
 
 QUERIES = {
@@ -21,9 +19,6 @@ QUERIES = {
     "op8_token_count": token_count.query,
     "op9_decontamination": decontaminate.query,
     "op10_quality_model": quality_model.query,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {"op2_url_filter": sql.urls(), "op3_mixing": sql.mixing(), "op6_chat_format": sql.CHAT, "op9_decontamination": sql.DECONTAMINATION}
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -7,8 +7,9 @@ less the posting's position), the words around each start are weighed by IDF, an
 mandatory key phrases must stand there. No start that holds is lost. IDF is counted over all documents. Everything but that count is local to a document, so only
 the vocabulary's counts (one row a licence word and task) are shuffled.
 
-Defined cases: null and empty texts have no words and no labels; repeated rows give repeated rows;
-of other columns only ``doc_id`` and ``text`` are read, so clashing names do no harm; an empty table
+Defined cases: null and empty texts have no words and no labels; texts of any length are scanned whole;
+several labels of one place all count, and of several starts of one template the best is the score;
+repeated rows give repeated rows; of other columns only ``doc_id`` and ``text`` are read, so clashing names do no harm; an empty table
 gives an empty table.
 """
 

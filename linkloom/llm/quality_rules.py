@@ -8,8 +8,8 @@ all-must-pass filter. The base rule (too few words, or too many in repeated wind
 Windows are compared by 64-bit hashes of their words. A document is first tested on 4-word windows:
 a repeated 8-word window makes at least five of them repeats, so most documents stop there.
 
-Defined cases: null and empty texts have no words and fail the base rule; ties in the posterior keep
-the document; repeated rows give repeated rows; an empty table gives an empty table; only ``doc_id``
+Defined cases: null and empty texts have no words and fail the base rule; texts of any length are read
+whole; a posterior of just KEEP_FROM and counts just at a rule's bound keep the document; repeated rows give repeated rows; an empty table gives an empty table; only ``doc_id``
 and ``text`` are read, and ``filter_documents`` hands the other columns through untouched.
 """
 

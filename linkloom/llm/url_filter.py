@@ -11,9 +11,10 @@ fragment make no difference. Components are found by distributed rounds (``compo
 done for them where no page ties any addresses.
 
 Defined cases: null urls, and those without ``://``, have an empty host and path, fit no rule and are
-no aliases; empty targets tie nothing; repeated rows give repeated rows; rules of one length can't both
+no aliases; empty targets tie nothing; html of any length is read whole, its first canonical link and
+first refresh count; repeated rows give repeated rows; rules of one length can't both
 fit one url unless they are equal, then the first given wins; an empty table gives an empty table; only
-``page_id``, ``url`` and ``html`` are read.
+``page_id``, ``url`` and ``html`` are read, so clashing names of other columns do no harm.
 """
 
 from __future__ import annotations
