@@ -6,7 +6,6 @@ import re
 from collections import defaultdict
 
 import pytest
-import xxhash
 
 import corpus_pipeline
 from linkloom.llm import mixing, pii, quality_rules
@@ -49,18 +48,16 @@ def kept_by_rules(docs):
     return [d for d, (failed, _), g in zip(docs, facts, good, strict=True) if not failed and g >= 0.5]
 
 
-def simhash(t):
-    w = t.encode().lower().split()
-    shingles = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or [b" ".join(w)] if w else []
-    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
 def one_of_each_group(docs):
-    prints, group = [simhash(d["text"] or "") for d in docs], list(range(len(docs)))
+    """Groups by links of a Jaccard similarity of 0.8 or more of distinct five-word shingles."""
+    def shingles(t):
+        w = t.encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, group = [shingles(d["text"] or "") for d in docs], list(range(len(docs)))
     for i in range(len(docs)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2 and group[i] != group[j]:
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     least = {}
