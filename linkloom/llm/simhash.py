@@ -195,13 +195,18 @@ def _stars(met: DataFrame, weight: Column) -> DataFrame:
     return met.join(stand, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def _links_of_texts(groups: DataFrame) -> DataFrame:
-    """Edges (a, b) between the nodes of ``groups`` (node, text, keys) that are alike."""
-    rows = groups.select("node", F.explode("keys").alias("key"))
+def _links_of_texts(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (a, b) between alike nodes, from their ``keys`` (node, keys) and ``texts`` (at, text), of which ``at`` may be a node.
+
+    Texts are shuffled once, and kept only of nodes that meet others. Joins that grow with the input are told to
+    shuffle, so that their cost is in proportion at any size.
+    """
+    rows = keys.select("node", F.explode("keys").alias("key"))
     full = rows.groupBy("key").count().filter("count > 1")
-    met = C.materialize(rows.join(full, "key"), "met")
+    met = C.materialize(rows.join(full.hint("shuffle_hash"), "key"), "met")
     company = met.groupBy("node").agg(F.sum("count").alias("company"))
-    texts = groups.select("node", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    texts = texts.join(company.select(F.col("node").alias("at")).hint("shuffle_hash"), "at", "left_semi")
+    texts = C.materialize(texts.select(F.col("at").alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("text")), "met-texts")
     known = met.join(company, "node")
     pairs = C.materialize(_stars(known, F.col("company")), "pairs")
     first = C.materialize(_verified(pairs, texts), "alike")
@@ -221,8 +226,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # One node for each text, the place of its first row; rows in order of (id, place), null ids last.
     first = marked.groupBy("copy").agg(F.min("at").alias("node"), F.min(F.struct(F.col("id").isNull(), "id", "at")).alias("least"))
     nodes = C.materialize(first.select("node", "least"), "nodes")
-    of_node = marked.select("at", F.col("row")["text"].alias("text"), "keys").join(nodes.select(F.col("node").alias("at")), "at", "left_semi").withColumnRenamed("at", "node")
-    labels = connected_components(_links_of_texts(of_node))
+    of_nodes = marked.select(F.col("at").alias("node"), "keys").join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi")
+    labels = connected_components(_links_of_texts(of_nodes, marked.select("at", F.col("row")["text"].alias("text"))))
     known = nodes.join(labels, "node", "left").select("least", F.coalesce("label", "node").alias("label"))
     stay = known.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.at").alias("at"))
     return marked.join(stay.hint("shuffle_hash"), "at", "left_semi").select("row.*")
