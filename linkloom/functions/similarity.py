@@ -6,19 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _zero(n: Column, d: Column) -> Column:
-    return F.when(d > 0, n / d).otherwise(F.lit(0.0))
+def _share(n: Column, d: Column) -> Column:
+    return F.coalesce(F.try_divide(n, d), F.lit(0.0))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of distinct arrays; 0 if either is empty."""
+    """Of distinct arrays; 0 if either is empty. What is common is counted once, as no branch hides it."""
     both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), _zero(both, F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
+    return _share(both, F.size(a) + F.size(b) - both)
 
 
 def containment(a: Column, b: Column) -> Column:
     """Share of the smaller set; 0 if either is empty."""
-    return _zero(F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b)))
+    return _share(F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b)))
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:

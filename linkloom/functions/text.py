@@ -6,6 +6,7 @@ import difflib
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,24 +14,30 @@ from pyspark.sql.types import DoubleType, StringType
 
 #: Words that say nothing in a business name.
 NAME_STOP_WORDS = ("inc", "corp", "corporation", "llc", "ltd", "limited", "pvt", "private", "co", "company", "llp", "sarl", "sas", "sci", "sa", "plc", "and", "the", "of", "com", "www", "pc")
-#: Latin letters of the four languages and what they fold to, one letter each.
-ACCENTED, PLAIN = "àâäáãéèêëíìîïóòôöõúùûüçñÿ", "aaaaaeeeeiiiiooooouuuucny"
+
+
+def _strip(s: str) -> str:
+    kept = (c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn" or ord(c) >= 0x900)
+    return unicodedata.normalize("NFC", "".join(kept))
+
+
+#: Letters that are one letter without their marks, by rule; and the marks that stand alone. Those from U+0900 on are letters' vowels.
+ACCENTED = "".join(c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]) if unicodedata.decomposition(c) and len(_strip(c)) == 1 and _strip(c) != c)
+PLAIN = "".join(map(_strip, ACCENTED))
+MARKS = "".join(c for c in map(chr, range(0x80, 0x900)) if unicodedata.category(c) == "Mn")
 INDIC = "[\\u0900-\\u0D7F]"
 DOMAIN = r"(?i)\.(com|net|org|in)\b"
 
 
 def fold_latin(c: Column) -> Column:
-    """Accents of Latin letters removed by a fixed table; ``strip_accents`` does it for all of Unicode."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Lower case without accents, as ``strip_accents`` of it, but inside the JVM; plain ASCII is only lower-cased."""
+    plain = F.octet_length(c) == F.length(c)
+    return F.when(plain, F.lower(c)).otherwise(F.translate(F.lower(c), ACCENTED + MARKS, PLAIN))
 
 
 @F.pandas_udf(StringType())
 def strip_accents(texts: pd.Series) -> pd.Series:
-    def strip(s: str) -> str:
-        kept = (c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn" or ord(c) >= 0x900)
-        return unicodedata.normalize("NFC", "".join(kept))
-
-    return texts.map(strip, na_action="ignore")
+    return texts.map(_strip, na_action="ignore")
 
 
 def _squeezed(c: Column) -> Column:
@@ -125,30 +132,43 @@ def transliterate(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: s if s.isascii() else "".join(c if c.isascii() else one(c) for c in s), na_action="ignore")
 
 
-def _jaro_winkler(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach, used, left = max(0, max(len(a), len(b)) // 2 - 1), [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == c:
-                used[j] = True
-                left.append(c)
-                break
-    if not left:
-        return 0.0
-    right = [c for c, u in zip(b, used, strict=True) if u]
-    m, swaps = len(left), sum(x != y for x, y in zip(left, right, strict=True)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    prefix = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
-    return jaro + 0.1 * prefix * (1 - jaro) if jaro > 0.7 else jaro
+def _codes(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of each text, a row each, and lengths."""
+    n = texts.str.len().to_numpy(np.int64)
+    out = np.zeros((len(n), max(1, int(n.max(initial=0)))), np.uint32)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    out[np.arange(out.shape[1]) < n[:, None]] = flat
+    return out, n
+
+
+def jaro_winklers(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Jaro-Winkler of all pairs at once: one step for each place of the longest first text."""
+    if not len(a):
+        return np.empty(0)
+    (x, n), (y, m) = _codes(a), _codes(b)
+    rows, place = np.arange(len(n)), np.arange(y.shape[1])
+    reach = np.maximum(0, np.maximum(n, m) // 2 - 1)
+    free, took = place < m[:, None], np.zeros(x.shape, bool)
+    for i in range(x.shape[1]):
+        fits = free & (y == x[:, i, None]) & (np.abs(place - i) <= reach[:, None]) & (i < n)[:, None]
+        first, some = fits.argmax(1), fits.any(1)
+        free[rows[some], first[some]] = False
+        took[:, i] = some
+    used = (place < m[:, None]) & ~free
+    k = took.sum(1)
+    order = lambda c, u: c[rows[:, None], np.argsort(~u, 1, kind="stable")]
+    width = min(x.shape[1], y.shape[1])
+    swaps = ((order(x, took)[:, :width] != order(y, used)[:, :width]) & (np.arange(width) < k[:, None])).sum(1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(k > 0, (k / n + k / m + (k - swaps) / k) / 3, 0.0)
+    head = np.arange(min(4, width))
+    prefix = np.logical_and.accumulate((x[:, head] == y[:, head]) & (head < np.minimum(n, m)[:, None]), 1).sum(1)
+    return np.where((n == 0) & (m == 0), 1.0, np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro))
 
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(np.concatenate([jaro_winklers(a.iloc[k : k + 2048], b.iloc[k : k + 2048]) for k in range(0, len(a), 2048)] or [np.empty(0)]))
 
 
 @F.pandas_udf(DoubleType())
