@@ -11,11 +11,21 @@ from ..functions import text as T
 WORD, CHAR, EXACT = 1, 2, 4
 
 
+SALTS, POSTINGS = 64, 2000
+
+
+def first_of_key(rows: DataFrame, keys: list[str], cap: int, order: str = "entity_id") -> DataFrame:
+    """The first ``cap`` rows of each key, in two levels: of each of SALTS parts first, so no task sorts a whole hot key."""
+    part = F.pmod(F.xxhash64(order), F.lit(SALTS))
+    within = lambda d, *by: d.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(order))).filter(F.col("_n") <= cap).drop("_n")
+    return within(within(rows.withColumn("_part", part), *keys, "_part").drop("_part"), *keys)
+
+
 def exact_block(queries: DataFrame, corpus: DataFrame, key: str = "nname", cap: int = 200) -> DataFrame:
     """Pairs of equal, non-empty key in one country; of a key's corpus rows the first ``cap`` by id."""
     wanted = corpus.filter(F.col(key) != "").join(queries.select("country", key).distinct(), ["country", key], "left_semi")
-    ranked = wanted.withColumn("_n", F.row_number().over(W.partitionBy("country", key).orderBy("entity_id"))).filter(F.col("_n") <= cap)
-    return queries.select(F.col("entity_id").alias("s1_id"), "country", key).join(ranked.select("country", key, F.col("entity_id").alias("cand_id")), ["country", key]).select("s1_id", "cand_id", "country")
+    ranked = first_of_key(wanted.select("country", key, "entity_id"), ["country", key], cap)
+    return queries.select(F.col("entity_id").alias("s1_id"), "country", key).join(ranked.withColumnRenamed("entity_id", "cand_id"), ["country", key]).select("s1_id", "cand_id", "country")
 
 
 def rare_token(queries: DataFrame, corpus: DataFrame, field: str = "nname", max_df: int = 10) -> DataFrame:
@@ -84,14 +94,19 @@ def weights(queries: DataFrame, corpus: DataFrame, terms: Column, min_df: int =
 def tfidf_topk(queries: DataFrame, corpus: DataFrame, k: int, terms: Column | None = None, threshold: float = 0.05) -> DataFrame:
     """The ``k`` corpus rows of largest cosine over ``threshold`` for each query, in one country; ties by id.
 
-    An inverted-index join on the token, partly summed before it is shuffled again; scores are rounded
-    before they are ranked, so that the order of summation decides nothing.
+    An inverted-index join on the token, partly summed before it is shuffled again. A token's corpus rows are dealt
+    to parts of about POSTINGS rows, so no task holds a hot token. Scores are rounded before they are ranked, so that
+    the order of summation decides nothing.
     """
     q, c = weights(queries, corpus, words(F.concat("nname", F.lit(" "), "naddr")) if terms is None else terms)
-    pairs = q.select(F.col("entity_id").alias("s1_id"), "country", "token", F.col("w").alias("wq")).join(c.select(F.col("entity_id").alias("cand_id"), "country", "token", "w"), ["country", "token"])
-    scored = pairs.groupBy("country", "s1_id", "cand_id").agg(F.round(F.sum(F.col("wq") * F.col("w")), 6).alias("score")).filter(F.col("score") > threshold)
+    key = F.xxhash64("country", "token").alias("key")
+    parts = c.groupBy(key).agg(F.ceil(F.count("*") / POSTINGS).cast("int").alias("parts"))
+    dealt = c.select(F.col("entity_id").alias("cand_id"), key, "w").join(parts, "key").select("cand_id", "key", "w", F.pmod(F.xxhash64("cand_id"), F.col("parts")).cast("int").alias("part"))
+    asked = q.select(F.col("entity_id").alias("s1_id"), key, F.col("w").alias("wq")).join(parts, "key").select("s1_id", "key", "wq", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    scored = asked.join(dealt, ["key", "part"]).groupBy("s1_id", "cand_id").agg(F.round(F.sum(F.col("wq") * F.col("w")), 6).alias("score")).filter(F.col("score") > threshold)
     order = W.partitionBy("s1_id").orderBy(F.desc("score"), "cand_id")
-    return scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k).select("s1_id", "cand_id", "country", "score", "rank")
+    best = scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+    return best.join(queries.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id").select("s1_id", "cand_id", "country", "score", "rank")
 
 
 def channel_union(word: DataFrame, char: DataFrame | None, exact: DataFrame) -> DataFrame:

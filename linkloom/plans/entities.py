@@ -7,11 +7,35 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import blocking, decide, features
+from ..sources import files
 
-WORD_K = 10
+#: Candidates a query from each ranked channel, and another number for some countries.
+WORD_K = CHAR_K = 100
+BUDGETS = {"en": (50, 50)}
+_WRITTEN: dict[tuple, str] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, plan) -> DataFrame:
+    """What ``plan`` gives, written to the shared folder by its first reader; later plans of the session read that.
+
+    A changed documents table is another name, by its size, files and time.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = fs.getContentSummary(path)
+    key = (spark.sparkContext.applicationId, name, sf_dir, state.getLength(), state.getFileCount(), fs.getFileStatus(path).getModificationTime())
+    if key not in _WRITTEN:
+        to = files.workspace(spark, name)
+        plan().write.parquet(to)
+        _WRITTEN[key] = to
+    return spark.read.parquet(_WRITTEN[key])
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "entity-view", lambda: _entities(spark, sf_dir))
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five normalised tokens of a text are a name, the next twelve an address, its language a country."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", T.norm_blocking(F.coalesce("text", F.lit(""))).alias("norm"))
     toks = T.tokens(F.col("norm"))
@@ -36,18 +60,36 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(first, ["country", "whole"]).select("s1_id", F.col("entity_id").alias("cand_id"), "country")
 
 
+def joint_grams():
+    return blocking.word_grams(F.concat("nname", F.lit(" "), "naddr"))
+
+
+def word_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "word-channel", lambda: blocking.tfidf_topk(*sides(spark, sf_dir), WORD_K))
+
+
+def char_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "char-channel", lambda: blocking.tfidf_topk(*sides(spark, sf_dir), CHAR_K, joint_grams()))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = sides(spark, sf_dir)
-    return blocking.channel_union(blocking.tfidf_topk(q, c, WORD_K), None, blocking.exact_block(q, c))
+    """The union of the three channels, word, char and exact."""
+    def plan() -> DataFrame:
+        return blocking.channel_union(word_channel(spark, sf_dir), char_channel(spark, sf_dir), blocking.exact_block(*sides(spark, sf_dir)))
+
+    return once(spark, sf_dir, "candidates", plan)
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.query_index(sides(spark, sf_dir)[0], candidates(spark, sf_dir))
 
 
-def pair_features(spark: SparkSession, sf_dir: str, edit: bool = False) -> DataFrame:
-    q, c = sides(spark, sf_dir)
-    return features.pair_features(candidates(spark, sf_dir), raw(q), raw(c), edit=edit)
+def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def plan() -> DataFrame:
+        q, c = sides(spark, sf_dir)
+        return features.pair_features(candidates(spark, sf_dir), raw(q), raw(c))
+
+    return once(spark, sf_dir, "features", plan)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,8 +81,11 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares: its checkpoints', else its warehouse's; the machine's own only in local mode."""
+    """A new path in the folder that the cluster shares: its checkpoints', else the warehouse that it names; the machine's own only in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"{'/tmp' if spark.sparkContext.master.startswith('local') else spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        local = spark.sparkContext.master.startswith("local")
+        if not local and not spark.sparkContext.getConf().contains("spark.sql.warehouse.dir"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{'/tmp' if local else spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return f"{found}/{name}-{uuid.uuid4().hex}"
