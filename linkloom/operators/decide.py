@@ -131,3 +131,95 @@ def result_lists(index: DataFrame, pairs: DataFrame, name: str = "matched_entity
     """Every query once, its ids sorted and comma-joined, empty if it has none."""
     lists = pairs.groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_set("cand_id")), ",").alias(name))
     return index.select("s1_id").join(lists, "s1_id", "left").select(F.col("s1_id").alias("source1_entity_id"), F.coalesce(name, F.lit("")).alias(name))
+
+
+def outcomes(pairs: DataFrame, predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """``kind`` of each pair: TP, FP, FN or TN."""
+    marks = lambda d, name: d.select("s1_id", "cand_id", F.lit(True).alias(name))
+    j = pairs.join(marks(predicted, "_p"), ["s1_id", "cand_id"], "left").join(marks(truth, "_t"), ["s1_id", "cand_id"], "left").na.fill(False, ["_p", "_t"])
+    kind = F.when(F.col("_p") & F.col("_t"), "TP").when(F.col("_p"), "FP").when(F.col("_t"), "FN").otherwise("TN")
+    return j.withColumn("kind", kind).drop("_p", "_t")
+
+
+def slices(index: DataFrame, predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """Counts and macro F0.5 of each country, and of each source on its own."""
+    def measured(name: str, value: Column, p: DataFrame, t: DataFrame) -> DataFrame:
+        d = entity_counts(index, p, t).groupBy(value.alias("value")).agg(F.count("*").alias("n"), F.sum("n_pred").alias("n_pred"), F.sum("tp").alias("tp"), F.sum("n_true").alias("n_true"), F.round(F.avg(f05(F.col("n_pred"), F.col("n_true"), F.col("tp"))), 6).alias("macro_f05"))
+        return d.select(F.lit(name).alias("slice"), "value", "n", "n_pred", "tp", "n_true", "macro_f05")
+
+    out = measured("country", F.col("country"), predicted, truth)
+    for source in ("S2", "S3"):
+        own = F.col("cand_id").startswith(source + "-")
+        out = out.unionByName(measured("source", F.lit(source), predicted.filter(own), truth.filter(own)))
+    return out
+
+
+def bounds(index: DataFrame, predicted: DataFrame, candidates: DataFrame, truth: DataFrame) -> DataFrame:
+    """Macro F0.5 as decided, and had there been no false positive, all reachable links found, or both."""
+    pairs = lambda d: d.select("s1_id", "cand_id")
+    right = pairs(predicted).join(pairs(truth), ["s1_id", "cand_id"], "left_semi")
+    reachable = pairs(candidates).join(pairs(truth), ["s1_id", "cand_id"], "left_semi")
+    out = None
+    for world, p in (("as_decided", pairs(predicted)), ("no_false_positive", right), ("all_reachable", pairs(predicted).unionByName(reachable).distinct()), ("perfect_scores", reachable)):
+        one = entity_counts(index, p, truth).agg(F.sum("n_pred").alias("n_pred"), F.sum("tp").alias("tp"), F.round(F.avg(f05(F.col("n_pred"), F.col("n_true"), F.col("tp"))), 6).alias("macro_f05")).select(F.lit(world).alias("world"), "n_pred", "tp", "macro_f05")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def correlated(rows: DataFrame, features: list[str], least: float = 0.8) -> DataFrame:
+    """Pairs of features (a, b, corr) whose correlation is ``least`` or more, of either sign, all from one aggregation."""
+    names = [(x, y) for i, x in enumerate(features) for y in features[i + 1 :]]
+    number = lambda f: F.col(f).cast("double")
+    spread = lambda x, y: F.nullif(F.round(F.stddev_pop(number(x)) * F.stddev_pop(number(y)), 9), F.lit(0.0))  # constants have no correlation
+    one = rows.agg(*[F.round(F.covar_pop(number(x), number(y)) / spread(x, y), 3).alias(f"{x}|{y}") for x, y in names])
+    long = one.unpivot([], one.columns, "pair", "corr").filter(F.abs("corr") >= least)
+    return long.select(F.substring_index("pair", "|", 1).alias("a"), F.substring_index("pair", "|", -1).alias("b"), "corr")
+
+
+def delta(before: DataFrame, after: DataFrame, truth: DataFrame) -> DataFrame:
+    """Pairs of one side only, ``lost`` or ``gained``, and whether they are true."""
+    pairs = lambda d: d.select("s1_id", "cand_id")
+    lost, gained = before.join(after, ["s1_id", "cand_id"], "left_anti"), after.join(before, ["s1_id", "cand_id"], "left_anti")
+    both = pairs(lost).withColumn("kind", F.lit("lost")).unionByName(pairs(gained).withColumn("kind", F.lit("gained")))
+    return both.join(pairs(truth).withColumn("is_true", F.lit(True)), ["s1_id", "cand_id"], "left").na.fill(False, ["is_true"])
+
+
+def shard_truth(index: DataFrame, truth: DataFrame, n: int) -> DataFrame:
+    """Each shard's entities, links and entities without a link. Shards follow from ids, so they are disjoint and whole by rule."""
+    from ..functions.text import shard_of
+
+    links = truth.groupBy("s1_id").agg(F.count("*").alias("n"))
+    each = index.select("s1_id").join(links, "s1_id", "left").na.fill(0, ["n"]).withColumn("shard", shard_of(F.col("s1_id"), n))
+    return each.groupBy("shard").agg(F.count("*").alias("entities"), F.sum("n").alias("links"), F.count_if(F.col("n") == 0).alias("singletons"))
+
+
+def truth_profile(index: DataFrame, truth: DataFrame) -> DataFrame:
+    """How many entities have how many links, of which source, and how many candidates are linked more than once."""
+    per = truth.groupBy("s1_id").agg(F.count("*").alias("n_links"), F.count_if(F.col("cand_id").startswith("S2-")).alias("s2"), F.count_if(F.col("cand_id").startswith("S3-")).alias("s3"))
+    by = index.select("s1_id").join(per, "s1_id", "left").na.fill(0).groupBy("n_links").agg(F.count("*").alias("entities"), F.sum("s2").alias("in_s2"), F.sum("s3").alias("in_s3"))
+    reused = truth.groupBy("cand_id").count().filter("count > 1").agg(F.count("*").alias("reused"))
+    return by.join(F.broadcast(reused))  # one row
+
+
+def chains(entities: DataFrame) -> DataFrame:
+    """Of each country the quantiles of names' frequencies, the share of records in chains, and of names in several sources."""
+    names = entities.filter("nname <> ''").groupBy("country", "nname").agg(F.count("*").alias("n"), F.countDistinct("src").alias("n_src"))
+    return names.groupBy("country").agg(F.count("*").alias("names"), F.max("n").alias("most"), F.round(F.percentile("n", 0.5), 4).alias("median"), F.round(F.percentile("n", 0.99), 4).alias("p99"),
+        F.round(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("share_in_chains"), F.round(F.avg((F.col("n_src") > 1).cast("int")), 6).alias("in_several_sources"))
+
+
+def running_offsets(index: DataFrame) -> DataFrame:
+    """``first_row`` of each query in its country, in two levels: sums of id ranges first, so no task sorts a country."""
+    part = F.substring("s1_id", 1, 5)
+    whole = index.groupBy("country", part.alias("part")).agg(F.sum("n_cands").alias("n"))
+    before = whole.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("country").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    inside = F.coalesce(F.sum("n_cands").over(W.partitionBy("country", "part").orderBy("s1_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return index.withColumn("part", part).withColumn("inside", inside).join(before, ["country", "part"]).select("s1_id", (F.col("before") + F.col("inside")).cast("long").alias("first_row"))
+
+
+def study(found: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFrame:
+    """Of each ``method`` of ``found`` its pairs, the share of links among them, and candidates a query."""
+    hit = truth.select("s1_id", "cand_id", F.lit(1).alias("hit"))
+    all_of = truth.agg(F.count("*").alias("links")).join(F.broadcast(queries.agg(F.count("*").alias("asked"))))  # one row
+    by = found.join(hit, ["s1_id", "cand_id"], "left").groupBy("method").agg(F.count("*").alias("pairs"), F.count("hit").alias("hits"))
+    return by.join(F.broadcast(all_of)).select("method", "pairs", F.round(F.col("hits") / F.col("links"), 6).alias("recall"), F.round(F.col("pairs") / F.col("asked"), 6).alias("mean_candidates"))

@@ -64,8 +64,22 @@ def check_candidates(pairs: DataFrame, index: DataFrame) -> DataFrame:
     return c.unpivot([], c.columns, "rule", "n").unionByName(i.unpivot([], i.columns, "rule", "n"))
 
 
-def merge_shards(shards: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """Union of the (pairs, index) of disjoint shards; raises if a query or pair is in two."""
+def merge_shards(shards: list[tuple[DataFrame, DataFrame]], manifests: list[dict] | None = None, allow_incomplete: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Union of the (pairs, index) of disjoint shards; raises if a query or pair is in two.
+
+    With ``manifests`` it also raises where a shard isn't done, where settings differ, and, unless incomplete ones
+    are allowed, where a shard is missing.
+    """
+    if manifests is not None:
+        open_ones = [m.get("shard_id") for m in manifests if not m.get("done")]
+        if open_ones:
+            raise ValueError(f"not done: {open_ones}")
+        settings = [{k: v for k, v in m.items() if k not in ("shard_id", "done")} for m in manifests]
+        if any(x != settings[0] for x in settings):
+            raise ValueError(f"settings differ: {settings}")
+        missing = set(range(settings[0].get("num_shards", len(manifests)))) - {m.get("shard_id") for m in manifests}
+        if missing and not allow_incomplete:
+            raise ValueError(f"missing shards: {sorted(missing)}")
     pairs, index = shards[0]
     for p, i in shards[1:]:
         pairs, index = pairs.unionByName(p), index.unionByName(i)

@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import blocking, decide, features, learn, validate
 from ..sources import files
 from . import entities as E
-from .queries import _CTE, _FEATS, _GRID, _INPUT, _LABEL, ORACLE_SQL, QUERIES, _grams, _over, _query, _toks, _trained
+from .queries import _CTE, _F05, _FEATS, _FLAGS, _GRID, _INPUT, _LABEL, ORACLE_SQL, QUERIES, _grams, _over, _query, _toks, _trained
 
 _CTE["lists"] = (("ent", "scored"), ORACLE_SQL["agg_join_list"][ORACLE_SQL["agg_join_list"].rindex("\nSELECT") + 1 :])
 _CTE["matched"] = (("scored",), "SELECT s1_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) AS n FROM scored WHERE prob >= 0.625) WHERE n = 1")
@@ -42,7 +42,7 @@ def _again(name: str, write, read=None):
 
 
 _query("scan_tsv", lambda s, d: files.read_tsv(s, _entity_file(s, d)), _ROWS, "ent")
-_query("scan_arrow_csv", lambda s, d: files.read_tsv(s, _entity_file(s, d)).filter("business_address = ''"), f"{_ROWS} WHERE naddr = ''", "ent")
+_query("scan_arrow_csv", lambda s, d: files.read_tsv(s, _entity_file(s, d)), _ROWS, "ent")
 _query("scan_tsv_quoted", lambda s, d: files.read_quoted_tsv(s, _entity_file(s, d)), "SELECT entity_id, nname AS business_name, naddr AS business_address, country FROM ent", "ent")
 _query("scan_prefix", lambda s, d: files.read_first_rows(s, _entity_file(s, d), 20), f"{_ROWS} ORDER BY entity_id LIMIT 20", "ent")
 _query("scan_first_column_ids", lambda s, d: files.read_first_column(s, _entity_file(s, d)), "SELECT DISTINCT entity_id FROM ent", "ent")
@@ -92,7 +92,7 @@ def _copied(s: SparkSession, d: str) -> DataFrame:
 
 
 _query("copy_parts", _copied, "SELECT * FROM truth", "truth")
-_query("merge_shards", lambda s, d: validate.merge_shards(_shards(s, d))[0], "SELECT * FROM cand", "cand")
+_query("merge_shards", lambda s, d: validate.merge_shards(_shards(s, d), [{"shard_id": k, "num_shards": 3, "done": True, "exact_cap": 200} for k in range(3)])[0], "SELECT * FROM cand", "cand")
 
 # Projections, filters, predicates.
 _over("project_rename", "SELECT entity_id AS record_id, nname AS business_name, naddr AS business_address FROM {ent}", "ent")
@@ -106,12 +106,11 @@ _over("cast_narrow", "SELECT s1_id, cand_id, CAST(channels AS SMALLINT) AS chann
 _over("bitmask_or", "SELECT s1_id, bit_or(channels) AS channels, CAST(sum(CASE WHEN (channels & 1) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS by_word, CAST(sum(CASE WHEN (channels & 4) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS by_name FROM {cand} GROUP BY s1_id", "cand")
 _query("regex_contains", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", F.col("t").rlike(r"[^\x00-\x7F]").alias("non_ascii"), F.col("t").rlike("[\\u0900-\\u097F]").alias("devanagari"), T.is_indic(F.col("t")).alias("indic"), F.col("t").rlike(r"[0-9]").alias("digit")),
        r"SELECT doc_id, regexp_matches(t, '[^\x00-\x7F]') AS non_ascii, regexp_matches(t, '[\x{0900}-\x{097F}]') AS devanagari, regexp_matches(t, '[\x{0900}-\x{0D7F}]') AS indic, regexp_matches(t, '[0-9]') AS digit FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
-_FLAGS = {"exact_core_name": "a.core = b.core AND a.core <> ''", "name_sim_high": "name_tok_jac >= 0.7", "name_sim_low": "name_tok_jac < 0.3", "addr_sim_high": "addr_3gram_jac >= 0.5", "addr_sim_low": "addr_3gram_jac < 0.2", "chain_freq5": "s1_name_freq_log >= 1.7917", "chain_freq20": "s1_name_freq_log >= 3.0445",
-          "digit_conflict": "digit_exact_conflict = 1", "addr_missing": "addr_missing = 1", "short_addr": "cand_addr_ntok <= 3 AND addr_missing = 0", "indic": "indic_script = 1", "marginal_prob": "prob < 0.75", "compound_name": "name_tok_jac >= 0.7 AND addr_3gram_jac < 0.2", "compound_addr": "addr_3gram_jac >= 0.5 AND name_tok_jac < 0.3"}
+_BOOLS = {"exact_core_name": "a.core = b.core AND a.core <> ''", **_FLAGS}
 _CTE["cores"] = (("prep",), "SELECT entity_id, array_to_string(core, ' ') AS core FROM prep")
 _INPUT["cores"] = lambda s, d: E.entities(s, d).select("entity_id", F.array_join(T.core_tokens(F.col("nname")), " ").alias("core"))
 _WWW = "' ' || x.nname || ' ' LIKE '% www %' OR ' ' || x.nname || ' ' LIKE '% com %' OR ' ' || y.nname || ' ' LIKE '% www %' OR ' ' || y.nname || ' ' LIKE '% com %'"
-_over("bool_flags", "SELECT f.s1_id, f.cand_id, " + ", ".join(f"{e} AS {n}" if n != "addr_missing" else "f.addr_missing = 1 AS missing" for n, e in _FLAGS.items()) + f", {_WWW} AS dba_domain FROM {{feat}} f JOIN {{scored}} s ON s.s1_id = f.s1_id AND s.cand_id = f.cand_id JOIN {{cores}} a ON a.entity_id = f.s1_id JOIN {{cores}} b ON b.entity_id = f.cand_id JOIN {{ent}} x ON x.entity_id = f.s1_id JOIN {{ent}} y ON y.entity_id = f.cand_id", "feat", "scored", "cores", "ent")
+_over("bool_flags", "SELECT f.s1_id, f.cand_id, " + ", ".join(f"{e} AS {n}" for n, e in _BOOLS.items()) + f", {_WWW} AS dba_domain FROM {{feat}} f JOIN {{scored}} s ON s.s1_id = f.s1_id AND s.cand_id = f.cand_id JOIN {{cores}} a ON a.entity_id = f.s1_id JOIN {{cores}} b ON b.entity_id = f.cand_id JOIN {{ent}} x ON x.entity_id = f.s1_id JOIN {{ent}} y ON y.entity_id = f.cand_id", "feat", "scored", "cores", "ent")
 
 # Joins.
 _over("join_exact_keys_study", " UNION ALL ".join(f"SELECT '{n}' AS method, count(*) AS n_true, CAST(sum(CASE WHEN {e} THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM {{truth}} u JOIN {{ent}} a ON a.entity_id = u.s1_id JOIN {{ent}} b ON b.entity_id = u.cand_id" for n, e in (
@@ -136,8 +135,9 @@ _over("join_token_cross", "SELECT s1_id, cand_id, round(CAST(digit_lev_best AS D
 # Aggregations.
 _over("agg_count_per_s1", "SELECT s1_id, count(*) AS n FROM {cand} GROUP BY s1_id", "cand")
 _over("agg_sum_per_s1", "SELECT s1_id, CAST(sum(n) AS BIGINT) AS n_cands FROM (SELECT s1_id, channels, count(*) AS n FROM {cand} GROUP BY s1_id, channels) x GROUP BY s1_id", "cand")
-_query("agg_len_stats", lambda s, d: E.entities(s, d).groupBy("src").agg(F.round(F.avg(F.length("nname")), 6).alias("mean"), *[F.floor(F.percentile(F.length("nname"), p)).alias(n) for n, p in (("median", 0.5), ("p5", 0.05), ("p95", 0.95))], F.max(F.length("nname")).alias("most"), F.round(F.avg((F.col("nname") == "").cast("int")), 6).alias("empty")),
-       "SELECT src, round(avg(length(nname)), 6) AS mean, floor(quantile_cont(length(nname), 0.5))::BIGINT AS median, floor(quantile_cont(length(nname), 0.05))::BIGINT AS p5, floor(quantile_cont(length(nname), 0.95))::BIGINT AS p95, max(length(nname)) AS most, round(avg((nname = '')::INT), 6) AS empty FROM ent GROUP BY src", "ent")
+_LEN = ("nname", "naddr")
+_query("agg_len_stats", lambda s, d: (lambda e: e.unpivot(["src"], list(_LEN), "field", "text").groupBy("src", "field").agg(F.round(F.avg(F.length("text")), 6).alias("mean"), *[F.floor(F.percentile(F.length("text"), p)).alias(n) for n, p in (("median", 0.5), ("p5", 0.05), ("p95", 0.95))], F.max(F.length("text")).alias("most"), F.round(F.avg((F.col("text") == "").cast("int")), 6).alias("empty")))(E.entities(s, d).select("src", *_LEN)),
+       " UNION ALL ".join(f"SELECT src, '{f}' AS field, round(avg(length({f})), 6) AS mean, floor(quantile_cont(length({f}), 0.5))::BIGINT AS median, floor(quantile_cont(length({f}), 0.05))::BIGINT AS p5, floor(quantile_cont(length({f}), 0.95))::BIGINT AS p95, max(length({f})) AS most, round(avg(({f} = '')::INT), 6) AS empty FROM ent GROUP BY src" for f in _LEN), "ent")
 _PER = "SELECT e.entity_id, count(t.cand_id) AS n, CAST(coalesce(sum(CASE WHEN t.cand_id LIKE 'S2-%' THEN 1 ELSE 0 END), 0) AS BIGINT) AS s2, CAST(coalesce(sum(CASE WHEN t.cand_id LIKE 'S3-%' THEN 1 ELSE 0 END), 0) AS BIGINT) AS s3 FROM {ent} e LEFT JOIN {truth} t ON t.s1_id = e.entity_id WHERE e.src = 1 GROUP BY e.entity_id"
 _over("agg_conditional", f"SELECT count(*) AS entities, count_if(n = 0) AS none, count_if(n = 1) AS one, count_if(n >= 2) AS several, count_if(s2 > 0 AND s3 = 0) AS only_s2, count_if(s3 > 0 AND s2 = 0) AS only_s3, count_if(s2 > 0 AND s3 > 0) AS both_sources FROM ({_PER}) x", "ent", "truth")
 _over("agg_histogram", f"SELECT n AS n_matches, count(*) AS entities FROM ({_PER}) x GROUP BY n ORDER BY entities DESC, n_matches LIMIT 20", "ent", "truth")
@@ -146,18 +146,19 @@ _over("agg_first", "SELECT s1_id, max(country) AS country FROM {cand} GROUP BY s
 _over("agg_segment_max", "SELECT s1_id, max(prob) AS best FROM {scored} GROUP BY s1_id", "scored")
 _BUCKET = "CASE WHEN n = 1 THEN '1' WHEN n <= 3 THEN '2-3' WHEN n <= 10 THEN '4-10' WHEN n <= 100 THEN '11-100' ELSE 'over 100' END"
 _over("agg_freq_bucket", f"SELECT {_BUCKET} AS bucket, count(*) AS pairs, round(avg(label), 6) AS matched FROM (SELECT y.label, k.n FROM ({_LABEL}) y JOIN {{cores}} a ON a.entity_id = y.s1_id JOIN {{cores}} b ON b.entity_id = y.cand_id AND b.core = a.core JOIN (SELECT core, count(*) AS n FROM {{cores}} WHERE entity_id LIKE 'S1-%' GROUP BY core) k ON k.core = a.core WHERE a.core <> '') z GROUP BY {_BUCKET}", "scored", "truth", "cores")
-QUERIES["agg_macro_f05"], ORACLE_SQL["agg_macro_f05"] = QUERIES["metric_macro_f05"], ORACLE_SQL["metric_macro_f05"]
+_query("agg_macro_f05", lambda s, d: decide.entity_counts(E.index(s, d), _INPUT["matched"](s, d), E.truth(s, d)).groupBy("country").agg(F.count("*").alias("n"), F.round(F.avg(decide.f05(F.col("n_pred"), F.col("n_true"), F.col("tp"))), 6).alias("macro_f05")),
+       f"SELECT country, count(*) AS n, round(avg({_F05}), 6) AS macro_f05 FROM (SELECT i.country, (SELECT count(*) FROM matched p WHERE p.s1_id = i.s1_id) AS n_pred, (SELECT count(*) FROM truth t WHERE t.s1_id = i.s1_id) AS n_true, (SELECT count(*) FROM matched p JOIN truth t USING (s1_id, cand_id) WHERE p.s1_id = i.s1_id) AS tp FROM idx i) GROUP BY country", "idx", "matched", "truth")
 
 # Windows, order, samples, sets.
 _over("win_rank_topk", "SELECT s1_id, cand_id, k FROM (SELECT s1_id, cand_id, row_number() OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id) - 1 AS k FROM {scored}) x WHERE k < 5", "scored")
-_over("win_block_cap", "SELECT entity_id, country, nname FROM (SELECT entity_id, country, nname, row_number() OVER (PARTITION BY country, nname ORDER BY entity_id) AS k FROM {ent} WHERE src > 1) x WHERE k <= 200", "ent")
+_query("win_block_cap", lambda s, d: blocking.first_of_key(E.sides(s, d)[1].select("entity_id", "country", "nname"), ["country", "nname"], 2), "SELECT entity_id, country, nname FROM (SELECT entity_id, country, nname, row_number() OVER (PARTITION BY country, nname ORDER BY entity_id) AS k FROM ent WHERE src > 1) x WHERE k <= 2", "ent")
 _query("win_token_cap", lambda s, d: E.entities(s, d).select("entity_id", F.array_join(F.slice(T.digit_tokens(F.col("naddr")), 1, 6), " ").alias("digits")), "SELECT entity_id, array_to_string(digits[1:6], ' ') AS digits FROM prep", "prep")
 QUERIES["win_heap_cap"] = lambda s, d: blocking.multi_token(*E.sides(s, d), cap=5)
 ORACLE_SQL["win_heap_cap"] = ORACLE_SQL["join_multi_token_overlap"].replace("WHERE rank < 150", "WHERE rank < 5")
 _over("win_transform_size", "SELECT s1_id, cand_id, count(*) OVER (PARTITION BY s1_id) AS n_cands FROM {cand}", "cand")
 _query("win_avg_rank_auc", lambda s, d: decide.average_ranks(QUERIES["join_label_left"](s, d)).select("prob", "n", "rank"), "SELECT prob, count(*) AS n, any_value(rank) AS rank FROM (SELECT prob, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2 AS rank FROM scored) GROUP BY prob", "scored")
 _over("win_prefix_scan", "SELECT s1_id, cand_id, round(sum(prob) OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id ROWS UNBOUNDED PRECEDING), 5) AS running FROM {scored}", "scored")
-_over("win_cumsum_offsets", "SELECT s1_id, CAST(sum(n_cands) OVER (PARTITION BY country ORDER BY s1_id ROWS UNBOUNDED PRECEDING) - n_cands AS BIGINT) AS first_row FROM {idx}", "idx")
+_query("win_cumsum_offsets", lambda s, d: decide.running_offsets(E.index(s, d)), "SELECT s1_id, CAST(sum(n_cands) OVER (PARTITION BY country ORDER BY s1_id ROWS UNBOUNDED PRECEDING) - n_cands AS BIGINT) AS first_row FROM idx", "idx")
 _over("sort_result_rows", "SELECT source1_entity_id, matched_entity_ids FROM {lists} ORDER BY source1_entity_id", "lists")
 _query("argmax_row", lambda s, d: decide.sweep(E.index(s, d), E.scored(s, d), E.truth(s, d), _GRID).orderBy(F.desc("macro_f05"), "threshold").limit(1), ORACLE_SQL["sweep_threshold"] + " ORDER BY macro_f05 DESC, threshold LIMIT 1")
 _over("sample_rows", "SELECT entity_id FROM {ent} WHERE substring(md5(entity_id), 1, 1) = '7'", "ent")
@@ -169,11 +170,13 @@ _text = lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F
 _TEXT = "(SELECT doc_id, coalesce(text, '') AS t FROM documents)"
 _squeeze = lambda e, keep="": f"trim(regexp_replace(regexp_replace({e}, '[^\\p{{L}}\\p{{N}}_\\s{keep}]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _INDIC = "प्राइवेट। शर्मा"  # the texts have no Indic letters of their own
+#: Letters and marks that the tables lack: one and several marks, decomposed forms, letters without a mark of their own.
+_LETTERS = "Žižek Ő Şirket Āć Ǻ Ṩ Cafe\u0301s ǰ łø ĐđŒ"
 _md5 = lambda c: F.md5(c.cast("binary"))
 _query("strip_latin_accents", lambda s, d: _text(s, d).select("doc_id", _md5(T.strip_accents(F.col("t"))).alias("plain")), f"SELECT doc_id, md5(strip_accents(t)) AS plain FROM {_TEXT}")
-_query("norm_v1", lambda s, d: _text(s, d).select("doc_id", _md5(T.norm_blocking(F.col("t"))).alias("norm")), "SELECT doc_id, md5(norm) AS norm FROM norm", "norm")
+_query("norm_v1", lambda s, d: _text(s, d).select("doc_id", _md5(T.norm_blocking(F.concat("t", F.lit(" " + _LETTERS)))).alias("norm")), "SELECT doc_id, md5(" + _squeeze(f"strip_accents(lower(t || ' {_LETTERS}'))") + f") AS norm FROM {_TEXT}")
 _query("norm_v2", lambda s, d: _text(s, d).select("doc_id", _md5(T.norm_blocking(F.concat("t", F.lit(_INDIC)), keep_marks=True)).alias("norm")),
-       "SELECT doc_id, md5(" + _squeeze(f"regexp_replace(translate(lower(t || '{_INDIC}'), '{T.ACCENTED}', '{T.PLAIN}'), '[\\x{{0964}}\\x{{0965}}]', ' ', 'g')", "\\x{0900}-\\x{0D7F}") + f") AS norm FROM {_TEXT}")
+       "SELECT doc_id, md5(" + _squeeze(f"regexp_replace(strip_accents(lower(t)) || '{_INDIC}', '[\\x{{0964}}\\x{{0965}}]', ' ', 'g')", "\\x{0900}-\\x{0D7F}") + f") AS norm FROM {_TEXT}")
 _query("norm_feature", lambda s, d: _text(s, d).select("doc_id", _md5(T.norm_feature(F.col("t"))).alias("norm")), f"SELECT doc_id, md5(trim(regexp_replace(strip_accents(lower(t)), '[^a-z0-9\\x{{0900}}-\\x{{0D7F}}]+', ' ', 'g'))) AS norm FROM {_TEXT}")
 _ent = lambda name, column, sql, *needs: _query(name, lambda s, d: E.entities(s, d).select("entity_id", column().alias(name)), f"SELECT entity_id, {sql} AS {name} FROM {needs[0] if needs else 'ent'}", needs[0] if needs else "ent")
 _joined = lambda c: F.array_join(c, " ")
@@ -182,7 +185,8 @@ _ent("squash", lambda: T.squash(F.col("nname")), "squash", "prep")
 _ent("digit_tokens", lambda: _joined(T.digit_tokens(F.col("naddr"))), "array_to_string(digits, ' ')", "prep")
 _ent("locality_tokens", lambda: _joined(T.locality_tokens(F.col("naddr"))), f"array_to_string(list_filter({_toks('naddr')}, lambda x: regexp_full_match(x, '\\p{{L}}+'))[-3:], ' ')")
 _ent("char_3grams", lambda: _joined(F.array_sort(T.char_grams(F.col("nname")))), f"array_to_string(list_sort({_grams('nname')}), ' ')")
-_ent("pincode", lambda: T.pincode(F.col("naddr"), F.col("country")), f"coalesce(list_filter({_toks('naddr')}, lambda t: regexp_full_match(t, '[0-9]{{5}}'))[-1], '')")
+_pin = lambda: F.concat("naddr", F.lit(" 12345 "), F.lpad(F.substring_index("entity_id", "-", -1), 6, "0"), F.lit(" x"))
+_query("pincode", lambda s, d: E.entities(s, d).select("entity_id", T.pincode(_pin(), F.when(F.col("src") == 2, "India").otherwise(F.col("country"))).alias("pincode")), f"SELECT entity_id, coalesce(list_filter({_toks('a')}, lambda t: regexp_full_match(t, CASE WHEN src = 2 THEN '[0-9]{{6}}' ELSE '[0-9]{{5}}' END))[-1], '') AS pincode FROM (SELECT entity_id, src, naddr || ' 12345 ' || lpad(split_part(entity_id, '-', 2), 6, '0') || ' x' AS a FROM ent)", "ent")
 _ent("acronym", lambda: T.acronym(F.col("nname")), "array_to_string(list_transform(core, lambda x: x[1]), '')", "prep")
 _query("domain_name", lambda s, d: _text(s, d).select("doc_id", T.is_domain_name(F.col("t")).alias("domain")), f"SELECT doc_id, regexp_matches(t, '(?i)\\.(com|net|org|in)\\b') AS domain FROM {_TEXT}")
 _query("indic_flag", lambda s, d: _text(s, d).select("doc_id", T.is_indic(F.when(F.col("doc_id") % 2 == 0, F.concat("t", F.lit(_INDIC))).otherwise(F.col("t"))).alias("indic")), f"SELECT doc_id, regexp_matches(CASE WHEN doc_id % 2 = 0 THEN t || '{_INDIC}' ELSE t END, '[\\x{{0900}}-\\x{{0D7F}}]') AS indic FROM {_TEXT}")
@@ -211,8 +215,14 @@ _query("feature_signal_table", lambda s, d: decide.feature_signal(_feature_label
     UNPIVOT (SELECT label, {', '.join(f'{f}::FLOAT::DOUBLE AS {f}' for f in _SIGNAL)} FROM ({_FL.format(feat='feat', truth='truth')})) ON {', '.join(_SIGNAL)} INTO NAME feature VALUE value))) GROUP BY feature""", "feat", "truth")
 _CH = {"new_fp": "o AND NOT b AND NOT t", "fixed_fp": "b AND NOT o AND NOT t", "new_tp": "o AND NOT b AND t", "lost_tp": "b AND NOT o AND t"}
 _query("compare_models", lambda s, d: decide.compare(E.scored(s, d).filter("prob >= 0.625"), _INPUT["matched"](s, d), E.truth(s, d)), " UNION ALL ".join(f"SELECT '{n}' AS change, count(*) FILTER (WHERE {e}) AS n FROM (SELECT s.prob >= 0.625 AS b, m.s1_id IS NOT NULL AS o, t.s1_id IS NOT NULL AS t FROM scored s LEFT JOIN matched m ON m.s1_id = s.s1_id AND m.cand_id = s.cand_id LEFT JOIN truth t ON t.s1_id = s.s1_id AND t.cand_id = s.cand_id)" for n, e in _CH.items()), "scored", "matched", "truth")
-QUERIES["predict_chunks"] = QUERIES["train_gbt"]
-_query("logreg_baseline", lambda s, d: (lambda r: learn.predict(learn.train_logistic(r.filter("not fold")), r.filter("fold")).select("s1_id", "cand_id", "label", "prob"))(_trained(s, d)[1]))
+# Prediction of all rows in parts, each written on its own, as a scorer that is started again would find them.
+def _predicted_parts(s: SparkSession, d: str, path: str) -> None:
+    model, rows = _trained(s, d)
+    learn.predict(model, rows).select("s1_id", "cand_id", "prob", T.shard_of(F.col("s1_id"), 3).alias("part")).write.partitionBy("part").parquet(path)
+
+
+QUERIES["predict_chunks"] = _again("predicted", _predicted_parts)
+_query("logreg_baseline", lambda s, d: (lambda r: learn.predict(learn.train_logistic(r.filter("fold = 'train'")), r.filter("fold = 'validate'")).select("s1_id", "cand_id", "label", "prob"))(_trained(s, d)[1]))
 _WRONG = ["s1_id", "cand_id", features.MODEL_FEATURES[1], features.MODEL_FEATURES[0], *features.MODEL_FEATURES[3:]]
 _query("check_feature_order", lambda s, d: s.createDataFrame(validate.check_feature_order(_WRONG, list(features.MODEL_FEATURES)), "rule string, column string"), "SELECT unnest(['missing_feature', 'out_of_order', 'out_of_order']) AS rule, unnest(['addr_lev', 'addr_3gram_jac', 'addr_tok_cont']) AS column")
 _query("check_duplicate_pairs", lambda s, d: validate.duplicate_pairs((lambda c: c.unionByName(c.filter("channels >= 4")))(E.candidates(s, d).select("s1_id", "cand_id", "channels"))), "SELECT s1_id, cand_id, count(*) AS n FROM (SELECT s1_id, cand_id FROM cand UNION ALL SELECT s1_id, cand_id FROM cand WHERE channels >= 4) GROUP BY ALL HAVING count(*) > 1", "cand")
@@ -220,4 +230,23 @@ _over("check_cross_file_s1", "SELECT s1_id, n_parts FROM (SELECT s1_id, count(DI
 QUERIES["check_cross_file_s1"] = lambda s, d: validate.in_several_parts(_again("by_source", lambda s, d, p: files.write_parts(E.candidates(s, d).select("s1_id", F.substring("cand_id", 1, 2).alias("source")), p, "source"))(s, d).select("s1_id", F.regexp_extract(F.input_file_name(), "source=(S[0-9])", 1).alias("part")))
 _query("check_finite", lambda s, d: validate.not_finite(E.pair_features(s, d), _FEATS), f"SELECT unnest([{', '.join(repr(f) for f in _FEATS)}]) AS feature, unnest([{', '.join(f'(SELECT count(*) FROM feat WHERE {f} IS NULL OR NOT isfinite({f}))' for f in _FEATS)}]) AS n", "feat")
 _query("normalization_audit", lambda s, d: _text(s, d).select(T.norm_blocking(F.col("t")).alias("once")).withColumn("again", T.norm_blocking(F.col("once"))).agg(F.count("*").alias("n"), F.count_if(F.col("once") == F.col("again")).alias("idempotent"), F.count_if(F.col("once") == "").alias("empty"), F.count_if(F.col("once").contains("  ")).alias("double_blanks")),
-       f"SELECT count(*) AS n, count_if(norm = {_squeeze(f'translate(lower(norm), {T.ACCENTED!r}, {T.PLAIN!r})')}) AS idempotent, count_if(norm = '') AS empty, count_if(contains(norm, '  ')) AS double_blanks FROM norm", "norm")
+       f"SELECT count(*) AS n, count_if(norm = {_squeeze('strip_accents(lower(norm))')}) AS idempotent, count_if(norm = '') AS empty, count_if(contains(norm, '  ')) AS double_blanks FROM norm", "norm")
+
+# Retrieval study: recall and mean number of candidates of each method alone and of unions with budgets.
+_METHODS = {"M1_exact_name": "SELECT s1_id, cand_id FROM exact", "M2_word_10": "SELECT s1_id, cand_id FROM top_word WHERE rank < 10", "M3_word_100": "SELECT s1_id, cand_id FROM top_word", "M4_char_10": "SELECT s1_id, cand_id FROM top_char WHERE rank < 10", "M5_char_100": "SELECT s1_id, cand_id FROM top_char", "M6_rare_token": "SELECT s1_id, cand_id FROM rare", "M7_word_and_char": "SELECT s1_id, cand_id FROM top_word INTERSECT SELECT s1_id, cand_id FROM top_char",
+            "M8_word_or_exact": "SELECT s1_id, cand_id FROM top_word UNION SELECT s1_id, cand_id FROM exact", "M9_all": "SELECT s1_id, cand_id FROM cand", "M10_rare_or_exact": "SELECT s1_id, cand_id FROM rare UNION SELECT s1_id, cand_id FROM exact", "R1_budget_3": "SELECT s1_id, cand_id FROM cand WHERE word_rank BETWEEN 0 AND 2 OR char_rank BETWEEN 0 AND 2 OR channels >= 4", "R2_budget_1": "SELECT s1_id, cand_id FROM cand WHERE word_rank = 0 OR char_rank = 0"}
+
+
+def _studied(s: SparkSession, d: str) -> DataFrame:
+    two = lambda f: f.select("s1_id", "cand_id")
+    word, char, cand, rare = E.word_channel(s, d), E.char_channel(s, d), E.candidates(s, d), _INPUT["rare"](s, d)
+    exact = blocking.exact_block(*E.sides(s, d))
+    found = (exact, word.filter("rank < 10"), word, char.filter("rank < 10"), char, rare, word.join(char, ["s1_id", "cand_id"], "left_semi"), two(word).unionByName(two(exact)).distinct(), cand, two(rare).unionByName(two(exact)).distinct(), blocking.budgeted(cand, {}, (3, 3)), cand.filter("word_rank = 0 or char_rank = 0"))
+    every = None
+    for name, f in zip(_METHODS, found, strict=True):
+        f = two(f).withColumn("method", F.lit(name))
+        every = f if every is None else every.unionByName(f)
+    return decide.study(every, E.truth(s, d), E.sides(s, d)[0])
+
+
+_query("study_methods", _studied, " UNION ALL ".join(f"SELECT '{n}' AS method, count(*) AS pairs, round((SELECT count(*) FROM ({q}) JOIN truth USING (s1_id, cand_id)) / (SELECT count(*) FROM truth), 6) AS recall, round(count(*) / (SELECT count(*) FROM ent WHERE src = 1), 6) AS mean_candidates FROM ({q})" for n, q in _METHODS.items()), "exact", "top_word", "top_char", "rare", "cand", "truth", "ent")
