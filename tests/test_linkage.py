@@ -8,36 +8,38 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from linkloom import registry
+from linkloom import cli, registry
 from linkloom.functions import text as T
 from linkloom.operators import blocking, decide, features, validate
+from linkloom.plans import entities as E
 from linkloom.sources import files
 
 SF = "/root/testdata/sf0.001"
-WORLD = [("S1-A", "S2-1", 0.95), ("S1-A", "S2-2", 0.15), ("S1-A", "S2-5", 0.90), ("S1-B", "S2-1", 0.85), ("S1-B", "S2-5", 0.90), ("S1-B", "S2-7", 0.90), ("S1-C", "S3-9", 0.95)]
+#: Two queries want one candidate with equal scores, one loses all to another, one has none over the threshold, one none at all.
+WORLD = [("S1-10", "S3-4", 0.7), ("S1-10", "S2-8", 0.64), ("S1-20", "S3-4", 0.7), ("S1-20", "S2-3", 0.99), ("S1-30", "S2-3", 0.8), ("S1-40", "S2-6", 0.3)]
 
 
 @pytest.fixture
 def world(spark):
-    index = spark.createDataFrame([(s, "US") for s in ("S1-A", "S1-B", "S1-C", "S1-D")], "s1_id string, country string")
+    index = spark.createDataFrame([(f"S1-{k}", "FR") for k in (10, 20, 30, 40, 50)], "s1_id string, country string")
     return index, spark.createDataFrame(WORLD, "s1_id string, cand_id string, prob double")
 
 
-def test_four_entities(world):
+def test_ties_losers_and_entities_without_candidates(world):
     index, scored = world
     chosen = decide.one_to_one(scored.filter("prob >= 0.625"))
     got = {r[0]: r[1] for r in decide.result_lists(index, chosen).collect()}
-    assert got == {"S1-A": "S2-1,S2-5", "S1-B": "S2-7", "S1-C": "S3-9", "S1-D": ""}
+    assert got == {"S1-10": "S2-8,S3-4", "S1-20": "S2-3", "S1-30": "", "S1-40": "", "S1-50": ""}
     every = {r[0]: r[1] for r in decide.result_lists(index, scored).collect()}
-    assert every["S1-A"] == "S2-1,S2-2,S2-5" and every["S1-D"] == ""
+    assert every["S1-40"] == "S2-6" and every["S1-50"] == ""
 
 
 def test_macro_f05_counts_empty_entities(spark, world):
     index, _ = world
     pairs = lambda *p: spark.createDataFrame(list(p), "s1_id string, cand_id string")
-    true = pairs(("S1-A", "S2-1"), ("S1-A", "S2-2"))
-    r = decide.macro_f05(index, pairs(("S1-A", "S2-1"), ("S1-A", "S2-2"), ("S1-A", "S2-3"), ("S1-B", "S2-9")), true).head()
-    assert r["n"] == 4 and abs(r["macro_f05"] - (0.714286 + 0 + 1 + 1) / 4) < 1e-5
+    true = pairs(("S1-10", "S2-1"), ("S1-10", "S2-2"))
+    r = decide.macro_f05(index, pairs(("S1-10", "S2-1"), ("S1-10", "S2-2"), ("S1-10", "S2-3"), ("S1-20", "S2-9")), true).head()
+    assert r["n"] == 5 and abs(r["macro_f05"] - (0.714286 + 0 + 1 + 1 + 1) / 5) < 1e-5
 
 
 def test_files_round_trip(spark, tmp_path, world):
@@ -95,6 +97,71 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_block_cap_in_two_levels_and_hot_tokens(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"S2-{k:03}", "US", f"common word{k % 40}", "") for k in range(120)], "entity_id string, country string, nname string, naddr string")
+    kept = blocking.first_of_key(rows.withColumn("key", F.lit("x")), ["key"], 7)
+    assert sorted(r["entity_id"] for r in kept.collect()) == [f"S2-{k:03}" for k in range(7)]
+    q = spark.createDataFrame([("S1-1", "US", "common word3", ""), ("S1-2", "US", "word5", "")], rows.schema)
+    whole = sorted(map(tuple, blocking.tfidf_topk(q, rows, 2).collect()))
+    monkeypatch.setattr(blocking, "POSTINGS", 1)
+    assert sorted(map(tuple, blocking.tfidf_topk(q, rows, 2).collect())) == whole and len(whole) == 4
+
+
+def test_merge_refuses_bad_shards(spark):
+    shard = lambda k: (spark.createDataFrame([(f"S1-{k}", "S2-1")], "s1_id string, cand_id string"), spark.createDataFrame([(f"S1-{k}",)], "s1_id string"))
+    m = lambda k, **how: {"shard_id": k, "num_shards": 2, "done": True, **how}
+    assert validate.merge_shards([shard(0), shard(1)], [m(0), m(1)])[0].count() == 2
+    for shards, manifests, why in (([shard(0), shard(1)], [m(0), m(1, done=False)], "not done"), ([shard(0), shard(1)], [m(0), m(1, cap=3)], "differ"), ([shard(0)], [m(0)], "missing"), ([shard(0), shard(0)], None, "several")):
+        with pytest.raises(ValueError, match=why):
+            validate.merge_shards(shards, manifests)
+    assert validate.merge_shards([shard(0)], [m(0)], allow_incomplete=True)[1].count() == 1
+
+
+def test_views_are_written_once_a_table(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 90").write.parquet(f"{tmp_path}/documents.parquet")
+    first = E.entities(spark, str(tmp_path))
+    assert E.entities(spark, str(tmp_path)).inputFiles() == first.inputFiles() and first.count() > 0
+    spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 30").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert E.entities(spark, str(tmp_path)).count() < first.count()
+
+
+def test_command_line_from_files_to_a_valid_result(spark, tmp_path, capsys):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    rows, truth = [], []
+    for k in range(60):
+        name, street = f"{word()} {word()}", f"{r.randint(1, 99)} {word()} road {word()}"
+        rows.append((f"S1-{k}", name, street, "US"))
+        if k % 3:
+            rows.append((f"S2-{k}", name.upper(), street, "US"))
+            rows.append((f"S3-{k}", name, "" if k % 5 == 0 else street + " north", "US"))
+        truth.append((f"S1-{k}", f"S2-{k},S3-{k}" if k % 3 else ""))
+    at = lambda name: str(tmp_path / name)
+    head = "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
+    for s in ("S1", "S2", "S3"):
+        (tmp_path / f"{s}.tsv").write_text(head + "".join("\t".join(x) + "\n" for x in rows if x[0].startswith(s)))
+    (tmp_path / "gt.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join("\t".join(x) + "\n" for x in truth))
+    sources = ["--s1", at("S1.tsv"), "--s2", at("S2.tsv"), "--s3", at("S3.tsv")]
+    run = lambda *args: cli.main([*args])
+    for k in (0, 1):
+        run("candidates", *sources, "--out", at(f"c{k}"), "--shard-id", str(k), "--num-shards", "2")
+    run("merge", "--shards", at("c0"), at("c1"), "--out", at("c"))
+    run("evaluate", "--dir", at("c"), "--gt", at("gt.tsv"), "--report", at("report"))
+    found = {x["rule"]: int(x["n"]) for x in spark.read.option("header", True).csv(at("report")).collect()}
+    assert found["hits"] == found["links"] == 80 and not any(found[x] for x in ("duplicate_pairs", "no_channel", "word_bit", "char_bit", "count_mismatch"))
+    run("features", *sources, "--cands", at("c"), "--out", at("f"))
+    run("train", "--features", at("f"), "--gt", at("gt.tsv"), "--model", at("m"), "--n-estimators", "3", "--min-rows", "2")
+    run("validate", "--features", at("f"), "--gt", at("gt.tsv"), "--model", at("m"), "--report", at("v"))
+    assert max(float(x["macro_f05"]) for x in spark.read.option("header", True).csv(at("v")).collect()) > 0.9
+    run("predict", "--features", at("f"), "--cands", at("c"), "--model", at("m"), "--out", at("r"))
+    files_of = ["--matching", at("r/matching_results"), "--candidate", at("r/candidate_pairs")]
+    assert run("check", *files_of, *sources, "--check-ids") == 0 and capsys.readouterr().out.strip().endswith("{}")
+    run("shard-truth", "--gt", at("gt.tsv"), "--out", at("s"))
+    assert spark.read.options(sep="\t", header=True).csv(at("s")).count() == 60
+    run("profile", *sources, "--out", at("p"))
+    assert spark.read.option("header", True).csv(at("p")).count() == 3
+
+
 def test_ranks_and_average_precision_against_brute_force(spark):
     r = random.Random(3)
     rows = [(round(r.random(), 1 + k % 2), int(r.random() < 0.3)) for k in range(300)] + [(1.0, 1), (0.0, 0), (1.0, 0)]
