@@ -1,8 +1,8 @@
 """The registry: each operator as a query over the entity view or the relational tables, with its SQL.
 
 A query is a DataFrame plan of the library; its SQL is written on its own for another engine, from the
-raw tables up. Where a query only arranges what earlier operators give, both engines run one text over
-those inputs (``_over``). Spark's inputs are library plans, the other engine's are the CTEs below.
+raw tables up. Where a query arranges what earlier operators give, its plan takes those as DataFrames
+and its SQL the CTEs below (``_over``).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import blocking, decide, features, learn, validate
+from ..operators import blocking, decide, features, learn, tables, validate
 from . import entities as E
 
 QUERIES: dict[str, Callable] = {}
@@ -91,13 +91,9 @@ def _query(name: str, plan: Callable, sql: str | None = None, *needs: str) -> No
 _INPUT = {"ent": E.entities, "truth": E.truth, "cand": E.candidates, "idx": E.index, "feat": E.pair_features, "scored": E.scored, "rare": lambda s, d: E.once(s, d, "rare-3", lambda: blocking.rare_token(*E.sides(s, d), max_df=3)), "o2o": lambda s, d: decide.one_to_one(E.scored(s, d))}
 
 
-def _over(name: str, sql: str, *inputs: str) -> None:
-    """One text over inputs: tables of the driver, or what earlier operators give."""
-    def plan(spark, d):
-        views = {i: spark.read.parquet(f"{d}/{i}.parquet") if i in _TABLES else _INPUT[i](spark, d) for i in inputs}
-        return spark.sql(sql.format(**{i: "{" + i + "}" for i in inputs}), **views)
-
-    QUERIES[name] = plan
+def _over(name: str, sql: str, *inputs: str, plan: Callable) -> None:
+    """``plan`` over inputs, which are tables of the driver or what earlier operators give; the SQL names them in braces."""
+    QUERIES[name] = lambda spark, d: plan(*[spark.read.parquet(f"{d}/{i}.parquet") if i in _TABLES else _INPUT[i](spark, d) for i in inputs])
     ORACLE_SQL[name] = _oracle(sql.format(**{i: i for i in inputs}), *(i for i in inputs if i not in _TABLES))
 
 
@@ -121,8 +117,8 @@ _query("join_full_outer_union", E.candidates, "SELECT * FROM cand", "cand")
 _query("s1_index", E.index, "SELECT * FROM idx", "idx")
 _query("agg_document_frequency", lambda s, d: E.sides(s, d)[1].select(F.explode(T.token_set(F.col("nname"))).alias("token")).groupBy("token").agg(F.count("*").alias("df")), f"SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({_toks('nname')})) AS token FROM ent WHERE src > 1) GROUP BY token", "ent")
 _query("candidate_budgets", lambda s, d: blocking.budgeted(E.candidates(s, d), E.BUDGETS, (20, 30)), "SELECT * FROM cand WHERE (word_rank >= 0 AND word_rank < CASE country WHEN 'en' THEN 50 ELSE 20 END) OR (char_rank >= 0 AND char_rank < CASE country WHEN 'en' THEN 50 ELSE 30 END) OR channels >= 4", "cand")
-_over("union_asymmetric", "SELECT s1_id, cand_id, country, channels FROM {cand} WHERE channels >= 4 OR (word_rank >= 0 AND word_rank < CASE WHEN country = 'en' THEN 3 ELSE 6 END) OR (char_rank >= 0 AND char_rank < 2)", "cand")
-_over("filter_rank_lt_k", "SELECT s1_id, cand_id, word_rank FROM {cand} WHERE word_rank >= 0 AND word_rank < 5", "cand")
+_over("union_asymmetric", "SELECT s1_id, cand_id, country, channels FROM {cand} WHERE channels >= 4 OR (word_rank >= 0 AND word_rank < CASE WHEN country = 'en' THEN 3 ELSE 6 END) OR (char_rank >= 0 AND char_rank < 2)", "cand", plan=lambda c: c.filter((F.col("channels") >= blocking.EXACT) | F.col("word_rank").between(0, F.when(F.col("country") == "en", 2).otherwise(5)) | F.col("char_rank").between(0, 1)).select("s1_id", "cand_id", "country", "channels"))
+_over("filter_rank_lt_k", "SELECT s1_id, cand_id, word_rank FROM {cand} WHERE word_rank >= 0 AND word_rank < 5", "cand", plan=lambda c: c.filter(F.col("word_rank").between(0, 4)).select("s1_id", "cand_id", "word_rank"))
 
 # Features.
 _FEATS = [f for f in features.FEATURES if f != "name_jw_translit"]
@@ -153,16 +149,16 @@ _query("rule_expected_f05", lambda s, d: decide.expected_f05(E.scored(s, d)).sel
   SELECT *, round((CASE WHEN tp > 0 THEN 1.25 * (tp / k) * (tp / greatest(total, 1e-9)) / (0.25 * tp / k + tp / greatest(total, 1e-9)) ELSE 0 END) * (1 - none), 9) AS f FROM (
     SELECT *, row_number() OVER w AS k, sum(prob) OVER (w ROWS UNBOUNDED PRECEDING) AS tp, sum(prob) OVER (PARTITION BY s1_id) AS total, CASE WHEN max(prob) OVER (PARTITION BY s1_id) >= 1 THEN 0 ELSE exp(sum(ln(1 - least(prob, 1 - 1e-15))) OVER (PARTITION BY s1_id)) END AS none FROM scored WINDOW w AS (PARTITION BY s1_id ORDER BY prob DESC, cand_id))))) WHERE f > 0 AND top > round(none, 9) AND k <= cut""", "scored")
 _LABEL = "SELECT s.*, CASE WHEN t.s1_id IS NULL THEN 0 ELSE 1 END AS label FROM {scored} s LEFT JOIN {truth} t ON t.s1_id = s.s1_id AND t.cand_id = s.cand_id"
-_over("join_label_left", _LABEL, "scored", "truth")
+_over("join_label_left", _LABEL, "scored", "truth", plan=tables.labelled)
 _query("metric_roc_auc", lambda s, d: decide.rank_auc(QUERIES["join_label_left"](s, d)), f"SELECT round((sum(rank) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))), 6) AS auc FROM (SELECT label, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS rank FROM ({_LABEL.format(scored='scored', truth='truth')}))", "scored", "truth")
 _query("agg_join_list", E.lists, "SELECT e.entity_id AS source1_entity_id, coalesce(string_agg(o.cand_id, ',' ORDER BY o.cand_id), '') AS matched_entity_ids FROM ent e LEFT JOIN (SELECT s1_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) AS n FROM scored WHERE prob >= 0.625) WHERE n = 1) o ON o.s1_id = e.entity_id WHERE e.src = 1 GROUP BY 1", "ent", "scored")
-_over("agg_confusion", f"SELECT sum(CASE WHEN prob >= 0.625 AND label = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN prob >= 0.625 AND label = 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN prob < 0.625 AND label = 1 THEN 1 ELSE 0 END) AS fn FROM ({_LABEL}) x", "scored", "truth")
+_over("agg_confusion", f"SELECT sum(CASE WHEN prob >= 0.625 AND label = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN prob >= 0.625 AND label = 0 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN prob < 0.625 AND label = 1 THEN 1 ELSE 0 END) AS fn FROM ({_LABEL}) x", "scored", "truth", plan=lambda s, t: tables.confusion(tables.labelled(s, t), 0.625))
 _CTE["pred"] = (("o2o",), "SELECT s1_id, cand_id, country, prob FROM o2o WHERE prob >= 0.625")
 _INPUT["pred"] = lambda s, d: decide.one_to_one(E.scored(s, d)).filter("prob >= 0.625")
 _EACH = "SELECT e.entity_id AS s1_id, e.country, (SELECT count(*) FROM {p} p WHERE p.s1_id = e.entity_id {w}) AS n_pred, (SELECT count(*) FROM truth t WHERE t.s1_id = e.entity_id {w}) AS n_true, (SELECT count(*) FROM {p} p JOIN truth t USING (s1_id, cand_id) WHERE p.s1_id = e.entity_id {w}) AS tp FROM ent e WHERE e.src = 1"
 _BY = (("country", "country", ""), ("source", "'S2'", "AND cand_id LIKE 'S2-%'"), ("source", "'S3'", "AND cand_id LIKE 'S3-%'"))
 _query("slice_metrics", lambda s, d: decide.slices(E.index(s, d), _INPUT["pred"](s, d), E.truth(s, d)), " UNION ALL ".join(f"SELECT '{k}' AS slice, {v} AS value, count(*) AS n, sum(n_pred)::BIGINT AS n_pred, sum(tp)::BIGINT AS tp, sum(n_true)::BIGINT AS n_true, round(avg({_F05}), 6) AS macro_f05 FROM ({_EACH.format(p='pred', w=w)}) GROUP BY {v}" for k, v, w in _BY), "ent", "pred", "truth")
-_over("agg_bins", f"SELECT CAST(floor(prob * 10) AS INT) AS bin, count(*) AS n, round(avg(prob), 6) AS mean_prob, round(avg(label), 6) AS actual FROM ({_LABEL}) x GROUP BY CAST(floor(prob * 10) AS INT)", "scored", "truth")
+_over("agg_bins", f"SELECT CAST(floor(prob * 10) AS INT) AS bin, count(*) AS n, round(avg(prob), 6) AS mean_prob, round(avg(label), 6) AS actual FROM ({_LABEL}) x GROUP BY CAST(floor(prob * 10) AS INT)", "scored", "truth", plan=lambda s, t: tables.score_bins(tables.labelled(s, t)))
 _WORLDS = {"as_decided": "SELECT s1_id, cand_id FROM pred", "no_false_positive": "SELECT s1_id, cand_id FROM pred JOIN truth USING (s1_id, cand_id)", "all_reachable": "SELECT s1_id, cand_id FROM pred UNION SELECT s1_id, cand_id FROM cand JOIN truth USING (s1_id, cand_id)", "perfect_scores": "SELECT s1_id, cand_id FROM cand JOIN truth USING (s1_id, cand_id)"}
 _query("oracle_bounds", lambda s, d: decide.bounds(E.index(s, d), _INPUT["pred"](s, d), E.candidates(s, d), E.truth(s, d)), " UNION ALL ".join(f"SELECT '{n}' AS world, sum(n_pred)::BIGINT AS n_pred, sum(tp)::BIGINT AS tp, round(avg({_F05}), 6) AS macro_f05 FROM ({_EACH.format(p=f'({q})', w='')})" for n, q in _WORLDS.items()), "ent", "pred", "cand", "truth")
 _FLAGS = {"name_sim_high": "name_tok_jac >= 0.7", "name_sim_low": "name_tok_jac < 0.3", "addr_sim_high": "addr_3gram_jac >= 0.5", "addr_sim_low": "addr_3gram_jac < 0.2", "chain_freq5": "s1_name_freq_log >= 1.7917", "chain_freq20": "s1_name_freq_log >= 3.0445", "digit_conflict": "digit_exact_conflict = 1", "missing": "addr_missing = 1", "short_addr": "cand_addr_ntok <= 3 AND addr_missing = 0",
@@ -181,19 +177,19 @@ _query("agg_group_means", lambda s, d: _kinds(s, d).groupBy("kind").agg(*[F.roun
 _query("when_chain", lambda s, d: _kinds(s, d).select("s1_id", "cand_id", F.when(F.col("kind") == "FP", "FP").when(F.col("kind") == "FN", "FN").otherwise("ok").alias("outcome")), f"SELECT s1_id, cand_id, CASE kind WHEN 'FP' THEN 'FP' WHEN 'FN' THEN 'FN' ELSE 'ok' END AS outcome FROM ({_KINDS})", "feat", "scored", "pred", "truth")
 _CORR = [f for f in _FEATS if f not in ("indic_script", "country_india")]
 _query("agg_corr_matrix", lambda s, d: decide.correlated(E.pair_features(s, d), _CORR), " UNION ALL ".join(f"SELECT * FROM (SELECT '{x}' AS a, '{y}' AS b, round(covar_pop({x}::FLOAT::DOUBLE, {y}::FLOAT::DOUBLE) / nullif(round(stddev_pop({x}::FLOAT::DOUBLE) * stddev_pop({y}::FLOAT::DOUBLE), 9), 0), 3) AS corr FROM feat) WHERE abs(corr) >= 0.8" for i, x in enumerate(_CORR) for y in _CORR[i + 1 :]), "feat")
-_over("agg_quadrants", "SELECT name_tok_jac >= 0.5 AS name_high, addr_3gram_jac >= 0.5 AS addr_high, count(*) AS n, count(t.s1_id) AS matches FROM {feat} f LEFT JOIN {truth} t ON t.s1_id = f.s1_id AND t.cand_id = f.cand_id GROUP BY name_tok_jac >= 0.5, addr_3gram_jac >= 0.5", "feat", "truth")
+_over("agg_quadrants", "SELECT name_tok_jac >= 0.5 AS name_high, addr_3gram_jac >= 0.5 AS addr_high, count(*) AS n, count(t.s1_id) AS matches FROM {feat} f LEFT JOIN {truth} t ON t.s1_id = f.s1_id AND t.cand_id = f.cand_id GROUP BY name_tok_jac >= 0.5, addr_3gram_jac >= 0.5", "feat", "truth", plan=tables.quadrants)
 _query("symmetric_delta", lambda s, d: decide.delta(E.scored(s, d).filter("prob >= 0.5"), decide.one_to_one(E.scored(s, d)).filter("prob >= 0.5"), E.truth(s, d)), "SELECT coalesce(x.s1_id, y.s1_id) AS s1_id, coalesce(x.cand_id, y.cand_id) AS cand_id, CASE WHEN y.s1_id IS NULL THEN 'lost' ELSE 'gained' END AS kind, EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = coalesce(x.s1_id, y.s1_id) AND t.cand_id = coalesce(x.cand_id, y.cand_id)) AS is_true FROM (SELECT * FROM scored WHERE prob >= 0.5) x FULL JOIN (SELECT * FROM o2o WHERE prob >= 0.5) y ON x.s1_id = y.s1_id AND x.cand_id = y.cand_id WHERE x.s1_id IS NULL OR y.s1_id IS NULL", "scored", "o2o", "truth")
 
 # Evaluation of candidates and integrity.
 _HIT = "SELECT u.s1_id, u.cand_id, u.country, CASE WHEN c.s1_id IS NULL THEN 0 ELSE 1 END AS hit FROM {truth} u LEFT JOIN {cand} c ON c.s1_id = u.s1_id AND c.cand_id = u.cand_id"
-_over("join_semi_pair_hit", _HIT, "truth", "cand")
+_over("join_semi_pair_hit", _HIT, "truth", "cand", plan=tables.hits)
 _MISS = _HIT.replace("{cand}", "{rare}")
-_over("agg_mean_flag", " UNION ALL ".join(f"SELECT '{n}' AS slice, {e} AS value, count(*) AS n, round(avg(hit), 6) AS recall FROM ({_MISS}) x JOIN {{ent}} e ON e.entity_id = x.cand_id GROUP BY {e}" for n, e in (("country", "x.country"), ("source", "substring(x.cand_id, 1, 2)"), ("ascii", "CASE WHEN octet_length(encode(e.nname, 'UTF-8')) = length(e.nname) THEN 'ascii' ELSE 'other' END"))), "truth", "rare", "ent")
+_over("agg_mean_flag", " UNION ALL ".join(f"SELECT '{n}' AS slice, {e} AS value, count(*) AS n, round(avg(hit), 6) AS recall FROM ({_MISS}) x JOIN {{ent}} e ON e.entity_id = x.cand_id GROUP BY {e}" for n, e in (("country", "x.country"), ("source", "substring(x.cand_id, 1, 2)"), ("ascii", "CASE WHEN octet_length(encode(e.nname, 'UTF-8')) = length(e.nname) THEN 'ascii' ELSE 'other' END"))), "truth", "rare", "ent", plan=lambda t, r, e: tables.sliced_recall(tables.hits(t, r), e))
 ORACLE_SQL["agg_mean_flag"] = ORACLE_SQL["agg_mean_flag"].replace("octet_length(encode(e.nname, 'UTF-8'))", "strlen(e.nname)")
-_over("agg_bool_all", f"SELECT round(avg(a), 6) AS entity_recall, count(*) AS n FROM (SELECT s1_id, min(hit) AS a FROM ({_HIT}) x GROUP BY s1_id) y", "truth", "cand")
-_over("join_anti_blocking_miss", "SELECT u.s1_id, u.cand_id, u.country FROM {truth} u WHERE NOT EXISTS (SELECT 1 FROM {rare} c WHERE c.s1_id = u.s1_id AND c.cand_id = u.cand_id)", "truth", "rare")
+_over("agg_bool_all", f"SELECT round(avg(a), 6) AS entity_recall, count(*) AS n FROM (SELECT s1_id, min(hit) AS a FROM ({_HIT}) x GROUP BY s1_id) y", "truth", "cand", plan=lambda t, c: tables.entity_recall(tables.hits(t, c)))
+_over("join_anti_blocking_miss", "SELECT u.s1_id, u.cand_id, u.country FROM {truth} u WHERE NOT EXISTS (SELECT 1 FROM {rare} c WHERE c.s1_id = u.s1_id AND c.cand_id = u.cand_id)", "truth", "rare", plan=tables.misses)
 _MISSED = "SELECT a.country, CASE WHEN b.naddr = '' OR a.naddr = '' THEN 'empty_address' WHEN a.nname <> b.nname THEN 'other_name' WHEN length(a.nname) < 12 THEN 'short_name' WHEN x.n >= 5 THEN 'chain' ELSE 'common_words' END AS category FROM {truth} u JOIN {ent} a ON a.entity_id = u.s1_id JOIN {ent} b ON b.entity_id = u.cand_id JOIN (SELECT nname, count(*) AS n FROM {ent} WHERE src > 1 GROUP BY nname) x ON x.nname = b.nname WHERE NOT EXISTS (SELECT 1 FROM {rare} c WHERE c.s1_id = u.s1_id AND c.cand_id = u.cand_id)"
-_over("miss_tail_categories", f"SELECT country, category, count(*) AS misses FROM ({_MISSED}) z GROUP BY country, category", "truth", "rare", "ent")
+_over("miss_tail_categories", f"SELECT country, category, count(*) AS misses FROM ({_MISSED}) z GROUP BY country, category", "truth", "rare", "ent", plan=lambda t, r, e: tables.miss_categories(tables.misses(t, r), e))
 _query("agg_percentiles", lambda s, d: E.index(s, d).agg(F.round(F.avg("n_cands"), 6).alias("mean"), *[F.floor(F.percentile("n_cands", p)).alias(n) for n, p in (("median", 0.5), ("p95", 0.95), ("p99", 0.99))], F.max("n_cands").alias("most")), "SELECT round(avg(n_cands), 6) AS mean, floor(quantile_cont(n_cands, 0.5))::BIGINT AS median, floor(quantile_cont(n_cands, 0.95))::BIGINT AS p95, floor(quantile_cont(n_cands, 0.99))::BIGINT AS p99, max(n_cands) AS most FROM idx", "idx")
 
 
@@ -228,20 +224,20 @@ _query("profile_source", lambda s, d: E.entities(s, d).groupBy("src").agg(F.coun
 _query("profile_countries", lambda s, d: E.entities(s, d).groupBy("src", "country").agg(F.count("*").alias("n"), F.round(F.avg((F.col("naddr") == "").cast("int")), 6).alias("no_address"), F.round(F.avg(F.col("nname").rlike(r"[^\x00-\x7F]").cast("int")), 6).alias("not_ascii"), F.round(F.avg(F.col("naddr").rlike("[0-9]").cast("int")), 6).alias("with_digits"), F.min("nname").alias("example")), "SELECT src, country, count(*) AS n, round(avg((naddr = '')::INT), 6) AS no_address, round(avg((strlen(nname) > length(nname))::INT), 6) AS not_ascii, round(avg(regexp_matches(naddr, '[0-9]')::INT), 6) AS with_digits, min(nname) AS example FROM ent GROUP BY ALL", "ent")
 _query("profile_ground_truth", lambda s, d: decide.truth_profile(E.index(s, d), E.truth(s, d)), "SELECT n_links, count(*) AS entities, sum(s2)::BIGINT AS in_s2, sum(s3)::BIGINT AS in_s3, (SELECT count(*) FROM (SELECT cand_id FROM truth GROUP BY cand_id HAVING count(*) > 1)) AS reused FROM (SELECT e.entity_id, count(t.cand_id) AS n_links, count(*) FILTER (WHERE t.cand_id LIKE 'S2-%') AS s2, count(*) FILTER (WHERE t.cand_id LIKE 'S3-%') AS s3 FROM ent e LEFT JOIN truth t ON t.s1_id = e.entity_id WHERE e.src = 1 GROUP BY 1) GROUP BY n_links", "ent", "truth")
 _query("chainness", lambda s, d: decide.chains(E.entities(s, d)), "SELECT country, count(*) AS names, max(n) AS most, round(quantile_cont(n, 0.5), 4) AS median, round(quantile_cont(n, 0.99), 4) AS p99, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 6) AS share_in_chains, round(avg((n_src > 1)::INT), 6) AS in_several_sources FROM (SELECT country, nname, count(*) AS n, count(DISTINCT src) AS n_src FROM ent WHERE nname <> '' GROUP BY ALL) GROUP BY country", "ent")
-_over("agg_value_counts", "SELECT country, nname, count(*) AS n FROM {ent} GROUP BY country, nname", "ent")
-_over("topk_head_counts", "SELECT nname, count(*) AS n FROM {ent} WHERE src > 1 GROUP BY nname ORDER BY n DESC, nname LIMIT 25", "ent")
-_over("with_joint_text", "SELECT entity_id, nname || ' ' || naddr AS joint FROM {ent}", "ent")
-_over("sample_stratified", "SELECT entity_id, country FROM (SELECT entity_id, country, row_number() OVER (PARTITION BY country ORDER BY md5(entity_id)) AS k FROM {ent} WHERE src = 1) x WHERE k <= 20", "ent")
-_over("filter_in_set", "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING')", "orders", "customer")
-_over("filter_not_in_set", "SELECT c_custkey, c_name FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')", "orders", "customer")
-_over("join_reindex_zero", "SELECT c_custkey, count(o_orderkey) AS n FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY c_custkey", "orders", "customer")
-_over("win_keep_first", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM {orders}) x WHERE k = 1", "orders")
-_over("agg_distinct_count", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM {lineitem} GROUP BY l_returnflag", "lineitem")
-_over("union_distinct", "SELECT l_suppkey AS k FROM {lineitem} UNION SELECT s_suppkey FROM {supplier}", "lineitem", "supplier")
-_over("intersect_check", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}", "customer", "supplier")
-_over("except_check", "SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_returnflag = 'R' AND l_quantity > 40", "part", "lineitem")
-_over("drop_duplicates", "SELECT DISTINCT p_name, p_size FROM {part}", "part")
-_over("agg_duplicate_rows", "SELECT count(*) - count(DISTINCT p_name) AS repeats FROM {part}", "part")
+_over("agg_value_counts", "SELECT country, nname, count(*) AS n FROM {ent} GROUP BY country, nname", "ent", plan=lambda e: e.groupBy("country", "nname").agg(F.count("*").alias("n")))
+_over("topk_head_counts", "SELECT nname, count(*) AS n FROM {ent} WHERE src > 1 GROUP BY nname ORDER BY n DESC, nname LIMIT 25", "ent", plan=lambda e: e.filter("src > 1").groupBy("nname").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "nname").limit(25))
+_over("with_joint_text", "SELECT entity_id, nname || ' ' || naddr AS joint FROM {ent}", "ent", plan=lambda e: e.select("entity_id", F.concat_ws(" ", "nname", "naddr").alias("joint")))
+_over("sample_stratified", "SELECT entity_id, country FROM (SELECT entity_id, country, row_number() OVER (PARTITION BY country ORDER BY md5(entity_id)) AS k FROM {ent} WHERE src = 1) x WHERE k <= 20", "ent", plan=lambda e: tables.ranked(e.filter("src = 1"), "country", F.md5("entity_id"), k=20).select("entity_id", "country"))
+_over("filter_in_set", "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING')", "orders", "customer", plan=lambda o, c: tables.of_keys(o, "o_custkey", c.filter("c_mktsegment = 'BUILDING'"), "c_custkey").select("o_orderkey", "o_custkey"))
+_over("filter_not_in_set", "SELECT c_custkey, c_name FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')", "orders", "customer", plan=lambda o, c: tables.of_keys(c, "c_custkey", o.filter("o_orderstatus = 'P'"), "o_custkey", held=False).select("c_custkey", "c_name"))
+_over("join_reindex_zero", "SELECT c_custkey, count(o_orderkey) AS n FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY c_custkey", "orders", "customer", plan=lambda o, c: tables.zero_filled_counts(c, o, "c_custkey", "o_custkey"))
+_over("win_keep_first", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM {orders}) x WHERE k = 1", "orders", plan=lambda o: tables.ranked(o, "o_custkey", F.desc("o_totalprice"), F.col("o_orderkey"), k=1).select("o_custkey", "o_orderkey"))
+_over("agg_distinct_count", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM {lineitem} GROUP BY l_returnflag", "lineitem", plan=lambda x: x.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"), F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty")))
+_over("union_distinct", "SELECT l_suppkey AS k FROM {lineitem} UNION SELECT s_suppkey FROM {supplier}", "lineitem", "supplier", plan=lambda x, s: x.select(F.col("l_suppkey").alias("k")).union(s.select("s_suppkey")).distinct())
+_over("intersect_check", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}", "customer", "supplier", plan=lambda c, s: c.select(F.col("c_nationkey").alias("k")).intersect(s.select("s_nationkey")))
+_over("except_check", "SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_returnflag = 'R' AND l_quantity > 40", "part", "lineitem", plan=lambda p, x: p.select(F.col("p_partkey").alias("k")).subtract(x.filter("l_returnflag = 'R' AND l_quantity > 40").select("l_partkey")))
+_over("drop_duplicates", "SELECT DISTINCT p_name, p_size FROM {part}", "part", plan=lambda p: p.select("p_name", "p_size").dropDuplicates())
+_over("agg_duplicate_rows", "SELECT count(*) - count(DISTINCT p_name) AS repeats FROM {part}", "part", plan=lambda p: p.agg((F.count("*") - F.countDistinct("p_name")).alias("repeats")))
 
 # Learned models: no SQL, checked by their quality in tests.
 _MODELS: dict[tuple, tuple] = {}
