@@ -45,6 +45,14 @@ def materialize(df: DataFrame, name: str, partitions: int | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``materialize`` that no plan reads any more."""
+    spark = df.sparkSession
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_of(name: str = "text") -> Column:
     """The text, null taken as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -3,7 +3,8 @@
 Each half round lets every node point its neighbours at the least node it knows. The minimum of a
 node's neighbours is aggregated before the shuffle and joined back to the edges, so a hub with a third
 of all edges is a skewed side of a join, which adaptive execution splits, and never one task's group.
-Rounds go on until the edges stay as they are; each is a Parquet table in the shared folder.
+Rounds go on until the edges stay as they are; each is a Parquet table in the shared folder, which is
+deleted once the next round is written whole, so two rounds are on disk at once.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -40,7 +41,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = materialize(one, "edges")
     state = _state(now)
     while state[0]:
-        now = materialize(_small_star(_large_star(now)), "edges")
+        now, last = materialize(_small_star(_large_star(now)), "edges"), now
+        discard(last)
         state, before = _state(now), state
         if state == before:
             break
