@@ -19,7 +19,9 @@ so far with chance 0.66, one of four with 0.985, at 0.9 with 0.9998. Of the text
 variant the one that meets most others stands for them and is compared with each by their words; each
 text that is unlike any of these is also compared, under each of its variants, with one drawn from all who
 meet there and one from those who meet most. So a text has at most three partners a variant, and work is
-linear however many meet; a link is missed only where a text is unlike all of them and yet like another.
+linear however many meet. What that leaves, where texts meet under no variant or are unlike all of their
+partners and yet like another, an exact join finds among texts of different groups (``_missed``): alike texts
+share one of the first fifth of their shingles in any order common to all. No link between groups is lost.
 
 Defined cases: null and empty texts are one group of copies; a text of fewer words than a shingle has the
 whole of them as its one shingle; texts of any length are read whole; repeated rows are copies of each
@@ -30,10 +32,13 @@ read, and ``keep_one`` hands them through untouched whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -44,6 +49,8 @@ SEED, SHINGLE, DISTANCE = 42, 3, 2
 SEGMENT = 32
 STAGE_SHINGLE, SIMILARITY = 5, 0.8
 PLACES, SEGMENT_PLACES = 24, 6
+#: One of DRAWN texts tells the frequent shingles, those of FREQUENT such texts, the MOST_LAST most frequent at most.
+DRAWN, FREQUENT, MOST_LAST = 16, 8, 100_000
 AT_ONCE = 500  # partners of one text in a task
 _BLOCK = 255 * 256  # shingles at once; 255 of them can be summed in a byte
 
@@ -217,6 +224,52 @@ def _links_of_texts(keys: DataFrame, texts: DataFrame) -> DataFrame:
     return first.unionByName(_verified(C.materialize(others, "pairs"), texts))
 
 
+def distinct_shingles(column: pa.Array) -> Iterator[np.ndarray]:
+    """Of each text the sorted hashes of its distinct shingles; none if it has fewer words."""
+    for lo, hi, words, bounds in H.words_of(column, H.VISIBLE):
+        h = H.shingle_hashes(words, STAGE_SHINGLE)
+        for k in range(hi - lo):
+            yield np.unique(h[bounds[k] : max(bounds[k], bounds[k + 1] - STAGE_SHINGLE + 1)]).view(np.int64)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
+
+
+def prefix(own: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The number of shingles, then the first of them, so many that an alike text has one of its own first among them.
+
+    Any order that all texts share will do: here those of ``last``, the frequent ones, stand behind the others.
+    """
+    n = len(own)
+    behind = np.isin(own, last)
+    first = np.concatenate((own[~behind], own[behind]))[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
+    return np.concatenate(([n], first)) if n else first
+
+
+def _missed(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """All edges (a, b) between alike nodes of different ``labels``, by an exact join of ``texts`` (node, text).
+
+    Two alike texts share one of their first shingles (``prefix``). A shingle whose texts all have one label is done
+    with. Of the others, pairs whose lengths and places in the order leave too few common shingles are not compared.
+    """
+    every = F.arrow_udf(lambda c: _lists(list(distinct_shingles(c))), "array<long>")
+    drawn = texts.filter(F.pmod(F.xxhash64("node"), F.lit(DRAWN)) == 0).select(F.explode(every("text")).alias("key")).groupBy("key").count()
+    last = np.array([r["key"] for r in drawn.filter(F.col("count") >= FREQUENT).orderBy(F.desc("count")).limit(MOST_LAST).select("key").collect()], np.int64)
+    first = F.arrow_udf(lambda c: _lists([prefix(own, last) for own in distinct_shingles(c)]), "array<long>")
+    rows = texts.select("node", first("text").alias("keys")).join(labels.hint("shuffle_hash"), "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.get("keys", F.lit(0)).cast("int").alias("n"), F.posexplode("keys").alias("pos", "key")).filter("pos > 0")
+    of_key = W.partitionBy("key")
+    mixed = rows.withColumns({"lo": F.min("label").over(of_key), "hi": F.max("label").over(of_key)}).filter("lo < hi").drop("lo", "hi")
+    mixed = C.materialize(mixed, "mixed")
+    a, b = (mixed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "n", "pos")]) for side in "ab")
+    lengths = (F.col("n_a") >= SIMILARITY * F.col("n_b") - 1e-9) & (F.col("n_b") >= SIMILARITY * F.col("n_a") - 1e-9)
+    both = a.join(b, (a["key"] == b["key"]) & (F.col("label_a") < F.col("label_b")) & lengths)
+    both = both.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("common"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
+    most = F.col("common") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    pairs = C.materialize(both.filter(most >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b"), "rest")
+    return _verified(pairs, texts)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays."""
     keys = F.arrow_udf(variants, "array<long>")
@@ -227,7 +280,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = marked.groupBy("copy").agg(F.min("at").alias("node"), F.min(F.struct(F.col("id").isNull(), "id", "at")).alias("least"))
     nodes = C.materialize(first.select("node", "least"), "nodes")
     of_nodes = marked.select(F.col("at").alias("node"), "keys").join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi")
-    labels = connected_components(_links_of_texts(of_nodes, marked.select("at", F.col("row")["text"].alias("text"))))
+    links = C.materialize(_links_of_texts(of_nodes, marked.select("at", F.col("row")["text"].alias("text"))), "links")
+    texts = marked.select(F.col("at").alias("node"), F.coalesce(F.col("row")["text"], F.lit("")).cast("binary").alias("text")).join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi")
+    missed = C.materialize(_missed(texts, connected_components(links)), "links")
+    labels = connected_components(links.unionByName(missed))
     known = nodes.join(labels, "node", "left").select("least", F.coalesce("label", "node").alias("label"))
     stay = known.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.at").alias("at"))
     return marked.join(stay.hint("shuffle_hash"), "at", "left_semi").select("row.*")

@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import random
 import re
 
 import duckdb
@@ -483,3 +485,24 @@ def test_coded_marks_repeats():
             again = any(i - lag >= 3 and (row[i - 3 : i + 1] == row[i - lag - 3 : i - lag + 1]).all() for lag in quality_model.LAGS)
             assert out[i] == row[i] + 256 * (again and row[i] > 0)
     assert got.max() > 255 and not quality_model.coded(np.zeros((2, quality_model.CHUNK), np.uint8)).any()
+
+
+def test_near_dedup_loses_no_link_of_a_large_group(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(4000)]
+    base, rows = [rng.choice(words) for _ in range(60)], []
+    for k in range(240):
+        own = list(base)
+        for _ in range(rng.choice([1, 1, 2])):
+            own[rng.randrange(len(own))] = f"x{k}"
+        rows.append(own + [f"y{k}-{i}" for i in range(rng.choice([0, 0, 3, 7]))] if k % 2 else own[: rng.choice([52, 56, 60])])
+    rows += [[rng.choice(words) for _ in range(30)] + base[:20] for _ in range(40)]
+    texts = [" ".join(r) for r in rows]
+    sets = [simhash.shingles(t.encode()) for t in texts]
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if label[i] != label[j] and simhash.alike(sets[i], sets[j]):
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
