@@ -239,25 +239,28 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 def prefix(own: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The number of shingles, then the first of them, so many that an alike text has one of its own first among them.
 
-    Any order that all texts share will do: here those of ``last``, the frequent ones, stand behind the others.
+    Any order that all texts share will do: here those of ``last`` (sorted), the frequent ones, stand behind the others.
     """
     n = len(own)
-    behind = np.isin(own, last)
+    behind = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own if len(last) else np.zeros(n, bool)
     first = np.concatenate((own[~behind], own[behind]))[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
     return np.concatenate(([n], first)) if n else first
 
 
 def _missed(texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """All edges (a, b) between alike nodes of different ``labels``, by an exact join of ``texts`` (node, text).
+    """All edges (a, b) between alike nodes of different ``labels`` (node, label), by an exact join.
+
+    ``texts`` (node, text) may hold rows that are no nodes; they are never shuffled but those of pairs to compare,
+    whose nodes are broadcast: 8 bytes each, where all texts would be as large as the input.
 
     Two alike texts share one of their first shingles (``prefix``). A shingle whose texts all have one label is done
     with. Of the others, pairs whose lengths and places in the order leave too few common shingles are not compared.
     """
     every = F.arrow_udf(lambda c: _lists(list(distinct_shingles(c))), "array<long>")
     drawn = texts.filter(F.pmod(F.xxhash64("node"), F.lit(DRAWN)) == 0).select(F.explode(every("text")).alias("key")).groupBy("key").count()
-    last = np.array([r["key"] for r in drawn.filter(F.col("count") >= FREQUENT).orderBy(F.desc("count")).limit(MOST_LAST).select("key").collect()], np.int64)
+    last = np.sort(np.array([r["key"] for r in drawn.filter(F.col("count") >= FREQUENT).orderBy(F.desc("count")).limit(MOST_LAST).select("key").collect()], np.int64))
     first = F.arrow_udf(lambda c: _lists([prefix(own, last) for own in distinct_shingles(c)]), "array<long>")
-    rows = texts.select("node", first("text").alias("keys")).join(labels.hint("shuffle_hash"), "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.get("keys", F.lit(0)).cast("int").alias("n"), F.posexplode("keys").alias("pos", "key")).filter("pos > 0")
+    rows = texts.select("node", first("text").alias("keys")).join(labels.hint("shuffle_hash"), "node").select("node", "label", F.get("keys", F.lit(0)).cast("int").alias("n"), F.posexplode("keys").alias("pos", "key")).filter("pos > 0")
     of_key = W.partitionBy("key")
     mixed = rows.withColumns({"lo": F.min("label").over(of_key), "hi": F.max("label").over(of_key)}).filter("lo < hi").drop("lo", "hi")
     mixed = C.materialize(mixed, "mixed")
@@ -267,7 +270,8 @@ def _missed(texts: DataFrame, labels: DataFrame) -> DataFrame:
     both = both.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("common"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
     most = F.col("common") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     pairs = C.materialize(both.filter(most >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b"), "rest")
-    return _verified(pairs, texts)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return _verified(pairs, C.materialize(texts.join(F.broadcast(wanted), "node", "left_semi"), "rest-texts"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -281,8 +285,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     nodes = C.materialize(first.select("node", "least"), "nodes")
     of_nodes = marked.select(F.col("at").alias("node"), "keys").join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi")
     links = C.materialize(_links_of_texts(of_nodes, marked.select("at", F.col("row")["text"].alias("text"))), "links")
-    texts = marked.select(F.col("at").alias("node"), F.coalesce(F.col("row")["text"], F.lit("")).cast("binary").alias("text")).join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi")
-    missed = C.materialize(_missed(texts, connected_components(links)), "links")
+    texts = marked.select(F.col("at").alias("node"), F.coalesce(F.col("row")["text"], F.lit("")).cast("binary").alias("text"))
+    label_of = nodes.select("node").join(connected_components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    missed = C.materialize(_missed(texts, label_of), "links")
     labels = connected_components(links.unionByName(missed))
     known = nodes.join(labels, "node", "left").select("least", F.coalesce("label", "node").alias("label"))
     stay = known.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.at").alias("at"))
