@@ -15,7 +15,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 to the 64
 _INVERSE = pow(_P, -1, 1 << 64)
-_STEP = 1 << 22  # bytes hashed at once
+_STEP = 1 << 19  # bytes hashed at once; a worker holds numbers of some tens of times this size meanwhile
 
 #: Bytes that stand in words: letters, digits and all beyond ASCII; or all but ASCII white space.
 LETTERS = np.zeros(256, bool)

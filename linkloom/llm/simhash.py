@@ -52,6 +52,7 @@ PLACES, SEGMENT_PLACES = 24, 6
 #: One of DRAWN texts tells the frequent shingles, those of FREQUENT such texts, the MOST_LAST most frequent at most.
 DRAWN, FREQUENT, MOST_LAST = 16, 8, 100_000
 AT_ONCE = 500  # partners of one text in a task
+PER_BUCKET = 4  # distinct shingles for each bucket of a sketch, at most, on average
 _BLOCK = 255 * 256  # shingles at once; 255 of them can be summed in a byte
 
 
@@ -176,22 +177,42 @@ def alike(a: set, b: set) -> bool:
     return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) of nodes whose ``texts`` (node, text) are alike; a ``b`` with many partners is dealt to many tasks."""
+def _same_words(of_a: pd.Series, of_b: pd.Series) -> pd.Series:
+    last, held, out = None, set(), []
+    for x, y in zip(of_a, of_b, strict=True):
+        if last is None or y != last:
+            last, held = y, shingles(bytes(y))
+        out.append(alike(shingles(bytes(x)), held))
+    return pd.Series(out, dtype=bool)
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """How many of the distinct shingles fall on each of 2^k buckets, one for two to four shingles; nothing if a byte can't hold it."""
+    size = 1 << max(0, int(np.ceil(np.log2(max(1, len(own)) / PER_BUCKET))))
+    counts = np.bincount(own & (size - 1), minlength=size)
+    return counts.astype(np.uint8).tobytes() if len(own) and counts.max() < 256 else b""
+
+
+def may_be_alike(a: bytes, b: bytes) -> bool:
+    """False only if the texts of two sketches can't be alike: no bucket holds more common shingles than the lesser count."""
+    if not a or not b:
+        return True
+    x, y = (np.frombuffer(s, np.uint8).reshape(-1, min(len(a), len(b))).sum(axis=0, dtype=np.int64) for s in (a, b))
+    return bool(np.minimum(x, y).sum() >= SIMILARITY / (1 + SIMILARITY) * (x.sum() + y.sum()) - 1e-6)
+
+
+def _same_buckets(of_a: pd.Series, of_b: pd.Series) -> pd.Series:
+    return pd.Series([may_be_alike(x, y) for x, y in zip(of_a, of_b, strict=True)], dtype=bool)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, test=_same_words) -> DataFrame:
+    """Those of ``pairs`` (a, b) of nodes whose ``texts`` (node, text) pass the test; a ``b`` with many partners is dealt to many tasks."""
     parts = F.ceil(F.col("n") / AT_ONCE).cast("int")
     many = pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", parts.alias("parts"))
     dealt = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
     copies = many.join(texts, F.col("b") == F.col("node")).select("b", F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
-    @F.pandas_udf("boolean")
-    def near(of_a: pd.Series, of_b: pd.Series) -> pd.Series:
-        last, held, out = None, set(), []
-        for x, y in zip(of_a, of_b, strict=True):
-            if last is None or y != last:
-                last, held = y, shingles(bytes(y))
-            out.append(alike(shingles(bytes(x)), held))
-        return pd.Series(out, dtype=bool)
-
+    near = F.pandas_udf(test, "boolean")
     both = dealt.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(copies, ["b", "part"])
     return both.filter(near("text_a", "text_b")).select("a", "b")
 
@@ -203,7 +224,7 @@ def _stars(met: DataFrame, weight: Column) -> DataFrame:
 
 
 def _links_of_texts(keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges (a, b) between alike nodes, from their ``keys`` (node, keys) and ``texts`` (at, text), of which ``at`` may be a node.
+    """Edges (a, b) between alike nodes, written, from their ``keys`` (node, keys) and ``texts`` (at, text), of which ``at`` may be a node.
 
     Texts are shuffled once, and kept only of nodes that meet others. Joins that grow with the input are told to
     shuffle, so that their cost is in proportion at any size.
@@ -221,7 +242,11 @@ def _links_of_texts(keys: DataFrame, texts: DataFrame) -> DataFrame:
     drawn = F.xxhash64("key", "node")
     others = _stars(met, drawn).unionByName(_stars(known, F.struct("company", drawn))).distinct()
     others = others.join(unlike, "a", "left_semi").join(pairs, ["a", "b"], "left_anti")
-    return first.unionByName(_verified(C.materialize(others, "pairs"), texts))
+    others = C.materialize(others, "pairs")
+    found = C.materialize(first.unionByName(_verified(others, texts)), "links")
+    for done in (met, texts, pairs, first, others):
+        C.discard(done)
+    return found
 
 
 def distinct_shingles(column: pa.Array) -> Iterator[np.ndarray]:
@@ -248,17 +273,18 @@ def prefix(own: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _missed(texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """All edges (a, b) between alike nodes of different ``labels`` (node, label), by an exact join.
+    """All edges (a, b) between alike nodes of different ``labels`` (node, label), written, by an exact join.
 
-    ``texts`` (node, text) may hold rows that are no nodes; they are never shuffled but those of pairs to compare,
-    whose nodes are broadcast: 8 bytes each, where all texts would be as large as the input.
+    ``texts`` (node, text) may hold rows that are no nodes.
 
     Two alike texts share one of their first shingles (``prefix``). A shingle whose texts all have one label is done
     with. Of the others, pairs whose lengths and places in the order leave too few common shingles are not compared.
+    Nor are pairs whose sketches, a small part of the texts, leave too few. Whole texts go only with the pairs that remain.
     """
     every = F.arrow_udf(lambda c: _lists(list(distinct_shingles(c))), "array<long>")
     drawn = texts.filter(F.pmod(F.xxhash64("node"), F.lit(DRAWN)) == 0).select(F.explode(every("text")).alias("key")).groupBy("key").count()
-    last = np.sort(np.array([r["key"] for r in drawn.filter(F.col("count") >= FREQUENT).orderBy(F.desc("count")).limit(MOST_LAST).select("key").collect()], np.int64))
+    frequent = C.materialize(drawn.filter(F.col("count") >= FREQUENT).orderBy(F.desc("count")).limit(MOST_LAST).select("key"), "frequent")
+    last = np.sort(np.array([r["key"] for r in frequent.collect()], np.int64))
     first = F.arrow_udf(lambda c: _lists([prefix(own, last) for own in distinct_shingles(c)]), "array<long>")
     rows = texts.select("node", first("text").alias("keys")).join(labels.hint("shuffle_hash"), "node").select("node", "label", F.get("keys", F.lit(0)).cast("int").alias("n"), F.posexplode("keys").alias("pos", "key")).filter("pos > 0")
     of_key = W.partitionBy("key")
@@ -270,8 +296,16 @@ def _missed(texts: DataFrame, labels: DataFrame) -> DataFrame:
     both = both.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("common"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
     most = F.col("common") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     pairs = C.materialize(both.filter(most >= SIMILARITY / (1 + SIMILARITY) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b"), "rest")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return _verified(pairs, C.materialize(texts.join(F.broadcast(wanted), "node", "left_semi"), "rest-texts"))
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    outline = F.arrow_udf(lambda c: pa.array([sketch(own) for own in distinct_shingles(c)], pa.binary()), "binary")
+    sketches = texts.select("node", outline("text").alias("text")).join(ends(pairs).hint("shuffle_hash"), "node", "left_semi")
+    close = C.materialize(_verified(pairs, C.materialize(sketches, "sketches"), _same_buckets), "close")
+    wanted = C.materialize(ends(close), "wanted")
+    held = C.materialize(texts.join(wanted, "node", "left_semi"), "rest-texts")
+    found = C.materialize(_verified(close, held), "links")
+    for done in (frequent, mixed, pairs, close, wanted, held):
+        C.discard(done)
+    return found
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -284,11 +318,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = marked.groupBy("copy").agg(F.min("at").alias("node"), F.min(F.struct(F.col("id").isNull(), "id", "at")).alias("least"))
     nodes = C.materialize(first.select("node", "least"), "nodes")
     of_nodes = marked.select(F.col("at").alias("node"), "keys").join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi")
-    links = C.materialize(_links_of_texts(of_nodes, marked.select("at", F.col("row")["text"].alias("text"))), "links")
+    links = _links_of_texts(of_nodes, marked.select("at", F.col("row")["text"].alias("text")))
     texts = marked.select(F.col("at").alias("node"), F.coalesce(F.col("row")["text"], F.lit("")).cast("binary").alias("text"))
     label_of = nodes.select("node").join(connected_components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    missed = C.materialize(_missed(texts, label_of), "links")
-    labels = connected_components(links.unionByName(missed))
+    labels = connected_components(links.unionByName(_missed(texts, label_of)))
     known = nodes.join(labels, "node", "left").select("least", F.coalesce("label", "node").alias("label"))
     stay = known.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.at").alias("at"))
     return marked.join(stay.hint("shuffle_hash"), "at", "left_semi").select("row.*")

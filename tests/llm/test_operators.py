@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linkloom.llm import chat_format, decontaminate, license_scan, mixing, pii, quality_model, quality_rules, simhash, sql, token_count, url_filter
+from linkloom.llm import chat_format, common, decontaminate, license_scan, mixing, pii, quality_model, quality_rules, simhash, sql, token_count, url_filter
 from linkloom.llm.components import connected_components
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, n_words string, fp string, score string"
@@ -506,3 +507,48 @@ def test_near_dedup_loses_no_link_of_a_large_group(spark):
             label = [a if x == b else x for x in label]
     kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
+
+
+def test_near_dedup_takes_no_texts_for_pairs_that_sketches_rule_out(spark, monkeypatch):
+    rng = random.Random(12)
+    words = lambda n: [f"{rng.getrandbits(28):x}" for _ in range(n)]
+    base = words(700)
+    rows = [base + words(500) for _ in range(60)]
+    rows.append(rows[0][:600] + ["changed"] + rows[0][601:])
+    whole, verified = [], simhash._verified
+
+    def counted(pairs, *rest):
+        if len(rest) == 1:
+            whole.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    kept = simhash.keep_one(spark.createDataFrame([(k, " ".join(r)) for k, r in enumerate(rows)], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(60))
+    assert sum(whole) <= 100  # 1,829 pairs have enough first shingles in common
+
+
+def test_sketches_rule_out_no_alike_texts():
+    r = np.random.default_rng(13)
+    for n in (1, 2, 5, 40, 300, 5000):
+        for share in (0.0, 0.4, 0.7, 0.88, 0.89, 0.9, 0.95, 1.0):
+            for stretch in (1.0, 0.9, 1.2):
+                same, a, b = (r.integers(-(1 << 63), 1 << 63, int(k)) for k in (share * n, (1 - share) * n, (1 - share) * n * stretch))
+                x, y = np.unique(np.concatenate((same, a))), np.unique(np.concatenate((same, b)))
+                may = simhash.may_be_alike(simhash.sketch(x), simhash.sketch(y))
+                assert may or not simhash.alike(set(x.tolist()), set(y.tolist()))
+                assert not (may and n >= 300 and share <= 0.4)
+    crowded = np.arange(2000, dtype=np.int64) << 20
+    assert simhash.sketch(crowded) == b"" and simhash.may_be_alike(b"", simhash.sketch(r.integers(0, 1 << 62, 2000)))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    found = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split() if "shuffle_" in f}
+    before = found()
+    out = common.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not found() - before:
+            break
+        time.sleep(0.1)
+    assert not found() - before
+    assert out.count() == 7 and spark.conf.get(common.CLEANUP, "false") == "false"
